@@ -13,6 +13,7 @@ from corpuslens.functions import text as T
 from corpuslens.operators import filters as FL
 from corpuslens.operators import text as TX
 from corpuslens.operators import vocab as V
+from corpuslens.session import cut_lineage
 from corpuslens.sources.corpus import default_stop_words
 
 
@@ -58,7 +59,7 @@ class CorpusFlow:
         self.spark = spark
         self.p = params or FlowParams()
         self.docs = (docs if docs is not None else prepared_docs(spark, sf_dir, True, self.p.stemmer))
-        self.docs = self.docs.persist(StorageLevel.MEMORY_AND_DISK)
+        self.docs = cut_lineage(self.docs)
         self.stop_words = stop_words if stop_words is not None else default_stop_words(spark)
         self._cache: dict[str, object] = {}
 
@@ -68,7 +69,10 @@ class CorpusFlow:
         return self._cache[key]
 
     def _persist(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        """Materialise a stage into the shared checkpoint folder.  This cuts
+        the lineage (later stages plan against a short plan) and survives
+        the loss of executors."""
+        return cut_lineage(df)
 
     @property
     def stats(self) -> tuple[int, float]:

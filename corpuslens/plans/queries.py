@@ -31,6 +31,11 @@ from corpuslens.sources.corpus import default_stop_words
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _iso(c: str) -> F.Column:
+    """Dates leave as ISO text so both engines hand over the same type."""
+    return F.date_format(F.col(c), "yyyy-MM-dd").alias(c)
+
+
 def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -292,7 +297,7 @@ def q_topic_normalised_impact(spark, sf):
 
 
 def q_record_search(spark, sf):
-    return _search(spark, sf).select("uid", "pub_date", "title", "edition")
+    return _search(spark, sf).select("uid", _iso("pub_date"), "title", "edition")
 
 
 def q_retrieve_page(spark, sf):
@@ -311,7 +316,7 @@ def q_page_plan(spark, sf):
 
 def q_retrieve_by_id(spark, sf):
     ids = read(spark, sf, "lineitem").where(F.col("l_quantity") > 45).select("l_orderkey")
-    return H.retrieve_by_id(_pubs(spark, sf), ids).select("uid", "pub_date", "title")
+    return H.retrieve_by_id(_pubs(spark, sf), ids).select("uid", _iso("pub_date"), "title")
 
 
 def q_cited_refs(spark, sf):
@@ -323,7 +328,7 @@ def q_cited_refs(spark, sf):
 def q_citing(spark, sf):
     seeds = read(spark, sf, "part").where(F.col("p_brand") == "Brand#17").select("p_partkey")
     out = H.citing_articles(_citations(spark, sf), seeds, _pubs(spark, sf), ("1996-01-01", "1997-12-31"))
-    return out.select("cited_uid", "citing_uid", "pub_date")
+    return out.select("cited_uid", "citing_uid", _iso("pub_date"))
 
 
 def q_related_records(spark, sf):
@@ -503,19 +508,19 @@ FROM embeddings GROUP BY label"""
 SELECT l_orderkey, l_linenumber,
        round(CASE WHEN m <> 0 THEN l_quantity / m END, 6) AS impact
 FROM (SELECT *, avg(l_quantity) OVER (PARTITION BY l_returnflag, year(l_shipdate), l_linestatus) AS m FROM lineitem)"""
-    o["record_search"] = C(search) + "SELECT uid, pub_date, title, edition FROM found"
+    o["record_search"] = C(search) + "SELECT uid, strftime(pub_date, '%Y-%m-%d') AS pub_date, title, edition FROM found"
     o["retrieve_page"] = C(search) + ("SELECT uid, times_cited FROM found ORDER BY times_cited DESC, uid "
                                       "LIMIT 50 OFFSET 10")
     o["retrieve_count"] = C(search) + "SELECT count(*) AS records_found FROM found"
     o["page_plan"] = C(search) + """
 SELECT ((s - 1) // 100)::BIGINT AS page, s AS first_record, least(100, c - s + 1) AS size
 FROM (SELECT count(*) AS c FROM found) t, range(1, (SELECT count(*) FROM found) + 1, 100) r(s)"""
-    o["retrieve_by_id"] = C(search) + ("SELECT uid, pub_date, title FROM pubs WHERE uid IN "
+    o["retrieve_by_id"] = C(search) + ("SELECT uid, strftime(pub_date, '%Y-%m-%d') AS pub_date, title FROM pubs WHERE uid IN "
                                        "(SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
     o["cited_refs"] = C(search) + ("SELECT c.citing_uid, c.cited_uid, p.p_name, p.p_brand FROM cites c "
                                    "JOIN (SELECT DISTINCT uid FROM found) f ON f.uid = c.citing_uid "
                                    "LEFT JOIN part p ON p.p_partkey = c.cited_uid")
-    o["citing"] = C(search) + ("SELECT c.cited_uid, c.citing_uid, p.pub_date FROM cites c "
+    o["citing"] = C(search) + ("SELECT c.cited_uid, c.citing_uid, strftime(p.pub_date, '%Y-%m-%d') AS pub_date FROM cites c "
                                "JOIN (SELECT DISTINCT p_partkey FROM part WHERE p_brand = 'Brand#17') s "
                                "ON s.p_partkey = c.cited_uid JOIN pubs p ON p.uid = c.citing_uid "
                                "WHERE p.pub_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
