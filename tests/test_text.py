@@ -1,0 +1,97 @@
+import pytest
+from pyspark.sql import functions as F
+
+from corpuslens.functions import text as T
+from corpuslens.functions.porter2 import stem as porter2
+from corpuslens.operators import text as TX
+
+
+def one(spark, expr, value):
+    return spark.createDataFrame([(value,)], "x string").select(expr.alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize("raw, expected", [
+    ("A,B", "ab"),            # comma before a letter goes
+    ("1,000", "1,000"),       # comma before a digit stays
+    ("a, b", "a, b"),         # comma before a space stays
+    (",,a", "a"),             # a run of commas before a letter
+    (",,1", ",1"),
+    ("a,)1", "a,1"),          # parentheses go first, then the comma rule
+    ("x(y)z", "xyz"),
+    ("a/b:c", "a b c"),
+    ("a   b", "a  b"),         # the double-space pass runs once, left to right
+    ("solar-cell – x − y", "solar cell   x   y"),
+    ("C++ *", "cplusplus "),
+])
+def test_clean_known_answers(spark, raw, expected):
+    assert one(spark, T.clean_text(F.col("x")), raw) == expected
+
+
+def test_fold_equals_unfolded(spark):
+    raw = "A-(b),c/d:e  f–g−h+i*j,,k,1 (x)"
+    assert one(spark, T.clean_text(F.col("x")), raw) == one(spark, T.clean_text(F.col("x"), fold=False), raw)
+
+
+def test_tokens_keep_ascii_letter_runs(spark):
+    got = one(spark, T.tokens(F.col("x")), "Solar CELLS 2008 éè x2 über-all ß")
+    assert got == ["solar", "cells", "x2", "über", "all"]
+
+
+def test_word_count(spark):
+    assert one(spark, T.word_count(F.col("x")), "  a b\tc\n") == 3
+    assert one(spark, T.word_count(F.col("x")), "") == 0
+
+
+def test_ngrams_order_and_bounds(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],), ([],), (["z"],)], "t array<string>")
+    got = [r[0] for r in df.select(T.ngrams("t", 1, 2)).collect()]
+    assert got == [["a", "b", "c", "a b", "b c"], [], ["z"]]
+
+
+@pytest.mark.parametrize("w, s", [("ponies", "pony"), ("ties", "ty"), ("aies", "aie"), ("eies", "eie"),
+                                  ("goes", "goe"), ("does", "doe"), ("cats", "cat"), ("glass", "glass"),
+                                  ("bus", "bus"), ("s", "s"), ("cell", "cell"), ("aes", "ae"),
+                                  ("horses", "horse"), ("trees", "tree")])
+def test_s_stemmer(spark, w, s):
+    assert one(spark, T.s_stem(F.col("x")), w) == s
+
+
+PORTER2 = {
+    "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign",
+    "consistency": "consist", "consistently": "consist", "consolation": "consol",
+    "consolatory": "consolatori", "consolidate": "consolid", "consolingly": "consol",
+    "conspicuous": "conspicu", "conspiracy": "conspiraci", "conspirator": "conspir",
+    "constable": "constabl", "constancy": "constanc", "knackeries": "knackeri", "kneaded": "knead",
+    "kneeling": "kneel", "knightly": "knight", "knitting": "knit", "knives": "knive",
+    "generously": "generous", "happily": "happili", "relational": "relat", "caresses": "caress",
+    "ponies": "poni", "ties": "tie", "cats": "cat", "agreed": "agre", "plastered": "plaster",
+    "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl",
+    "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss",
+    "fizzed": "fizz", "failing": "fail", "filing": "file", "skies": "sky", "dying": "die",
+    "news": "news", "proceed": "proceed", "cells": "cell", "photovoltaics": "photovolta",
+    "generate": "generat", "communication": "communic", "abilities": "abil", "by": "by",
+}
+
+
+@pytest.mark.parametrize("w", sorted(PORTER2))
+def test_porter2_known_answers(w):
+    assert porter2(w) == PORTER2[w]
+
+
+def test_dictionary_stemming_matches_per_token(spark):
+    df = spark.createDataFrame([(1, ["cells", "generated", "cells"]), (2, ["knives"]), (3, [])],
+                               "doc_id long, tokens array<string>")
+    out = {r["doc_id"]: r["stems"] for r in TX.stem_tokens(df, "porter2").collect()}
+    assert out == {1: ["cell", "generat", "cell"], 2: ["knive"], 3: []}
+
+
+def test_build_corpus_skips_nulls(spark):
+    df = spark.createDataFrame([(1, "Title", None), (2, None, None)], "doc_id long, a string, b string")
+    got = {r["doc_id"]: r["corpus"] for r in TX.build_corpus(df, ["a", "b"]).collect()}
+    assert got == {1: "title", 2: ""}
+
+
+def test_doc_lengths_scale(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b"), (3, "")], "doc_id long, corpus string")
+    got = {r["doc_id"]: (r["n_words"], r["scale"]) for r in TX.doc_lengths(df).collect()}
+    assert got == {1: (4, 2.0), 2: (2, 1.0), 3: (0, 0.0)}
