@@ -497,7 +497,7 @@ lab AS (SELECT doc_id, source AS label FROM documents WHERE lang = 'en'),
 sz AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
 cw2 AS (SELECT l.label, f.topic_id, sum(f.value) / any_value(sz.n) AS weight
         FROM tfidf f JOIN lab l USING (doc_id) JOIN sz ON sz.label = l.label GROUP BY l.label, f.topic_id),
-rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, topic_id) - 1 AS rank FROM cw2)
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(weight, 9) DESC, topic_id) - 1 AS rank FROM cw2)
 SELECT rk.label, rk.rank, rk.topic_id, t.phrase, round(rk.weight, 6) AS weight
 FROM rk JOIN topics t USING (topic_id) WHERE rk.rank < 10"""
     o["cluster_map"] = """
