@@ -1,8 +1,8 @@
 """Document-topic features in long form ``(doc_id, topic_id, value)``.
 
 Long form keeps the work relational: row norms are per-document sums,
-document frequencies per-topic counts.  Vectors are only built at the MLlib
-edge (``to_vectors``)."""
+document frequencies per-topic counts.  Dense vectors are only built for the
+LSA features (``operators.svd.project``)."""
 
 from __future__ import annotations
 
@@ -66,28 +66,6 @@ def tfidf_features(counts: DataFrame, n_docs: int, norm: str | None = "l2",
     return _row_norm(v, "value", norm, id_col)
 
 
-def to_vectors(feats: DataFrame, n_topics: int, id_col: str = "doc_id",
-               all_docs: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, features: SparseVector)``; documents of ``all_docs`` without
-    any topic get a zero vector.  Per-document grouping is bounded by the
-    number of topics."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    grouped = feats.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("topic_id", "value"))).alias("_e"))
-    if all_docs is not None:
-        grouped = all_docs.select(id_col).join(grouped, id_col, "left")
-
-    size = int(n_topics)
-
-    @F.udf(VectorUDT())
-    def build(entries):
-        entries = entries or []
-        return SparseVector(size, [e[0] for e in entries], [float(e[1]) for e in entries])
-
-    return grouped.select(id_col, build("_e").alias("features"))
-
-
 # ------------------------------------------------------------- G6, G7, F10 on arrays
 
 def l2_normalise_array(col) -> F.Column:
