@@ -24,6 +24,16 @@ def require_columns(df: DataFrame, *cols: str) -> None:
         raise ValueError(f"missing column(s) {missing}; have {df.columns}")
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Text work is CPU-bound per byte.  When the input has fewer splits than
+    the cluster has cores (a few large files), spread the rows round-robin
+    over ``per_core`` tasks per core; a large input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * per_core)
+    return df
+
+
 def build_corpus(df: DataFrame, text_cols: Sequence[str], id_col: str = "doc_id",
                  out: str = "corpus", remove: Sequence[str] | None = None,
                  to_space: Sequence[str] | None = None) -> DataFrame:

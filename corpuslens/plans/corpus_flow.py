@@ -27,6 +27,7 @@ def prepared_docs(spark: SparkSession, sf_dir: str, english_only: bool = True,
     docs = read(spark, sf_dir, "documents")
     if english_only:
         docs = docs.where(F.col("lang") == "en")
+    docs = TX.spread(docs)
     docs = TX.build_corpus(docs, ["source", "text"])
     docs = TX.tokenize(docs).withColumn("n_words", T.word_count("corpus"))
     docs = docs.select("doc_id", "corpus", "tokens", "n_words")

@@ -61,3 +61,15 @@ def test_entry_and_registry(spark):
     assert set(out.columns) == {"label", "rank", "topic_id", "phrase", "weight"}
     assert out.count() >= 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_topic_model_end_to_end(spark):
+    from corpuslens.plans import topic_model as TM
+    from corpuslens.plans.corpus_flow import FlowParams
+    res = TM.run(spark, SF, TM.ModelParams(flow=FlowParams(n_topics=40), lsa_components=8, k_means=4,
+                                           gmm_components=3, n_words=5, seed=1))
+    n_docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").count()
+    assert res.km_labels.count() == n_docs
+    assert res.km_themes.groupBy("label").count().where("count > 5").count() == 0
+    assert res.gm_labels.count() == n_docs
+    assert res.km_map.count() <= 4
