@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.session import small_enough_to_broadcast
+
 MAX_CENTRE_CELLS = 10_000_000  # k x d held by the driver / shipped to tasks
 
 
@@ -34,7 +36,7 @@ def renumber_labels(pred: DataFrame, label_col: str = "label", id_col: str = "do
     sizes = pred.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_m"))
     order = Window.orderBy(F.desc("_n"), F.asc("_m"))
     mapping = sizes.select(label_col, (F.row_number().over(order) - 1).alias("_new"))
-    return (pred.join(F.broadcast(mapping), label_col)
+    return (pred.join(small_enough_to_broadcast(mapping), label_col)
             .drop(label_col).withColumnRenamed("_new", label_col))
 
 
@@ -123,21 +125,41 @@ def centres_matrix(means: DataFrame, label_col: str = "label") -> tuple[np.ndarr
     return m, labels
 
 
+def _lloyd_stats(centres: np.ndarray, labels: list, vec_col: str):
+    def run(batches):
+        k, d = centres.shape
+        cn = (centres * centres).sum(axis=1)
+        sx = np.zeros((k, d)); cnt = np.zeros(k, dtype=np.int64); seen = False
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack([np.asarray(v, dtype=float) for v in pdf[vec_col]])
+            lab = np.argmin((x * x).sum(axis=1)[:, None] - 2.0 * x @ centres.T + cn[None, :], axis=1)
+            np.add.at(sx, lab, x)
+            cnt += np.bincount(lab, minlength=k)
+            seen = True
+        if seen:
+            comp = np.repeat(np.arange(k), d)
+            yield pd.DataFrame({"label": np.asarray(labels)[comp].astype("int64"),
+                                "dim": np.tile(np.arange(d), k).astype("int32"),
+                                "sx": sx.ravel(), "n": np.repeat(cnt, d)})
+    return run
+
+
 def kmeans_step(points: DataFrame, label_col: str = "label", vec_col: str = "embedding",
                 id_col: str = "vec_id") -> DataFrame:
     """F2 (one Lloyd iteration from given labels): centres = label means;
-    assign each point to its nearest centre; new centres = means of the
-    assignment.  ``(label, dim, centre, n_points)``."""
+    each point goes to its nearest centre; new centres = means of the
+    assignment.  One pass: every task emits per-label partial sums (k x d
+    numbers), Spark adds them up.  ``(label, dim, centre, n_points)``."""
     means = group_means(points, label_col, vec_col)
     c, labels = centres_matrix(means, label_col)
-    assign = assign_nearest(points, c, vec_col, id_col)
-    lab_map = points.sparkSession.createDataFrame(list(enumerate(labels)), "label int, given int")
-    assign = assign.join(F.broadcast(lab_map), "label").select(id_col, F.col("given").alias("new_label"))
-    joined = points.select(id_col, vec_col).join(assign, id_col)
-    newc = group_means(joined, "new_label", vec_col)
-    sizes = assign.groupBy("new_label").agg(F.count(F.lit(1)).alias("n_points"))
-    return (newc.join(sizes, "new_label")
-            .select(F.col("new_label").alias("label"), "dim", F.col("mean").alias("centre"), "n_points"))
+    stats = (points.select(vec_col)
+             .mapInPandas(_lloyd_stats(c, labels, vec_col), "label long, dim int, sx double, n long")
+             .groupBy("label", "dim").agg(F.sum("sx").alias("sx"), F.sum("n").alias("n")))
+    return (stats.where(F.col("n") > 0)
+            .select(F.col("label").cast("int").alias("label"), "dim",
+                    (F.col("sx") / F.col("n")).alias("centre"), F.col("n").alias("n_points")))
 
 
 def silhouette_sq(points: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:

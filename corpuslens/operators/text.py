@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.functions.porter2 import stem as porter2_stem
 from corpuslens.session import small_enough_to_broadcast
 
 NATIVE_STEMMERS = ("none", "s")
@@ -60,10 +61,9 @@ def doc_lengths(df: DataFrame, col: str = "corpus", id_col: str = "doc_id") -> D
 
 
 def _porter2_batches(batches):
-    from corpuslens.functions.porter2 import stem
     for pdf in batches:
         yield pd.DataFrame({"token": pdf["token"],
-                            "stem": [stem(t) for t in pdf["token"]]})
+                            "stem": [porter2_stem(t) for t in pdf["token"]]})
 
 
 def stem_dictionary(tokens_df: DataFrame, stemmer: str, col: str = "tokens") -> DataFrame:

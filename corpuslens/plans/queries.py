@@ -26,6 +26,7 @@ from corpuslens.operators import themes as TH
 from corpuslens.operators import vocab as V
 from corpuslens.plans import sql as S
 from corpuslens.plans.corpus_flow import CorpusFlow, prepared_docs, read
+from corpuslens.session import small_enough_to_broadcast
 from corpuslens.sources.corpus import default_stop_words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,7 +207,7 @@ def q_distance(spark, sf):
     centre = means.groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("_c")) \
         .select("label", F.col("_c.mean").alias("centre"))
-    j = e.join(F.broadcast(centre), "label")
+    j = e.join(small_enough_to_broadcast(centre), "label")
     return j.select("vec_id", "label", r6(G.euclidean_distance("embedding", "centre")).alias("dist"))
 
 
@@ -232,7 +233,7 @@ def q_gmm_estep_diag(spark, sf):
     p, labels = _label_params(e)
     pred = GM.gmm_predict(e, p, "embedding", "vec_id")
     lab = spark.createDataFrame(list(enumerate(labels)), "label int, given int")
-    return (pred.join(F.broadcast(lab), "label")
+    return (pred.join(small_enough_to_broadcast(lab), "label")
             .select("vec_id", F.col("given").alias("label"), r6("p").alias("p"), r6("loglik").alias("loglik")))
 
 
