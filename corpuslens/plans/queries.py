@@ -347,6 +347,62 @@ def q_doi_lookup(spark, sf):
     return H.doi_to_uid(dois, pubs).select("doi", "uid")
 
 
+# ============================================================ XML records
+
+def _record_structs(spark, sf):
+    """Bibliographic records built from the tables: an order is a record, its
+    customer the author, its priority the title, the cited parts' names the
+    author keywords and the number of its line items the times cited."""
+    o = read(spark, sf, "orders")
+    c = read(spark, sf, "customer").select("c_custkey", "c_name")
+    li = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    p = read(spark, sf, "part").select("p_partkey", "p_name")
+    kw = (li.join(p, li.l_partkey == p.p_partkey).groupBy("l_orderkey")
+          .agg(F.sort_array(F.collect_list("p_name")).alias("kw"), F.count(F.lit(1)).alias("tc")))
+    j = (o.join(c, o.o_custkey == c.c_custkey, "left")
+         .join(kw, o.o_orderkey == kw.l_orderkey, "left"))
+    uid = F.concat(F.lit("WOS:"), F.col("o_orderkey").cast("string"))
+    names = F.struct(F.array(F.struct(F.col("c_name").alias("display_name"),
+                                      F.upper("c_name").alias("wos_standard"))).alias("name"))
+    titles = F.struct(F.array(F.struct(F.lit("item").alias("_type"), F.col("o_orderpriority").alias("_VALUE")),
+                              F.struct(F.lit("source").alias("_type"), F.col("o_orderstatus").alias("_VALUE")))
+                      .alias("title"))
+    pub = F.struct(F.lit("Journal").alias("_pubtype"), F.year("o_orderdate").alias("_pubyear"),
+                   F.date_format("o_orderdate", "yyyy-MM-dd").alias("_sortdate"))
+    static = F.struct(
+        F.struct(names.alias("names"), titles.alias("titles"), pub.alias("pub_info")).alias("summary"),
+        F.struct(F.struct(F.coalesce("kw", F.array().cast("array<string>")).alias("keyword")).alias("keywords"))
+        .alias("fullrecord_metadata"))
+    dynamic = F.struct(
+        F.struct(F.struct(F.array(F.struct(F.coalesce("tc", F.lit(0)).cast("int").alias("_local_count")))
+                          .alias("silo_tc")).alias("tc_list")).alias("citation_related"),
+        F.struct(F.struct(F.array(F.struct(
+            F.lit("doi").alias("_type"),
+            F.concat(F.lit("10."), F.col("o_custkey").cast("string"), F.lit("/"),
+                     F.col("o_orderkey").cast("string")).alias("_value"))).alias("identifier"))
+                 .alias("identifiers")).alias("cluster_related"))
+    return j.select(uid.alias("UID"), static.alias("static_data"), dynamic.alias("dynamic_data"))
+
+
+def q_xml_records(spark, sf):
+    from corpuslens.session import checkpoint_dir
+    from corpuslens.sources import xml as SX
+    path = f"{checkpoint_dir(spark)}/xml-records-{uuid.uuid4().hex}"
+    SX.write_records(_record_structs(spark, sf), path)
+    rec = SX.merge_pages(SX.read_records(spark, path))
+    out = SX.project_records(rec, flat=True)
+    return out.select("uid", "authors", "title", "source", "publication_year",
+                      _iso("publication_date"), "times_cited", "doi", "keywords_author")
+
+
+def q_xpath_list(spark, sf):
+    from corpuslens.sources import xml as SX
+    rec = _record_structs(spark, sf)
+    xml = rec.select(F.col("UID").alias("uid"),
+                     F.to_xml(F.struct("static_data"), {"rowTag": "REC"}).alias("xml"))
+    return SX.xpath_list(xml, "xml", "REC/static_data/fullrecord_metadata/keywords/keyword/text()", "uid")
+
+
 # ============================================================ registry
 
 QUERIES: dict[str, Query] = {
@@ -368,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "retrieve_page": q_retrieve_page, "retrieve_count": q_retrieve_count, "page_plan": q_page_plan,
     "retrieve_by_id": q_retrieve_by_id, "cited_refs": q_cited_refs, "citing": q_citing,
     "related_records": q_related_records, "doi_lookup": q_doi_lookup,
+    "xml_records": q_xml_records, "xpath_list": q_xpath_list,
 }
 
 
@@ -540,6 +597,18 @@ WITH d AS (SELECT '10.' || o_custkey || '/' || o_orderkey AS doi FROM orders WHE
 p AS (SELECT '10.' || o_custkey || '/' || o_orderkey AS doi, regexp_replace('WOS:' || o_orderkey, '^WOS:', '') AS uid
       FROM orders)
 SELECT d.doi, p.uid FROM d LEFT JOIN p ON p.doi = d.doi"""
+    o["xml_records"] = """
+WITH kw AS (SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY p_name) AS kw, count(*) AS tc
+            FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
+SELECT 'WOS:' || o_orderkey AS uid, c.c_name AS authors, o_orderpriority AS title, o_orderstatus AS source,
+       year(o_orderdate) AS publication_year, strftime(o_orderdate, '%Y-%m-%d') AS publication_date,
+       coalesce(kw.tc, 0)::INTEGER AS times_cited, '10.' || o_custkey || '/' || o_orderkey AS doi,
+       coalesce(kw.kw, '') AS keywords_author
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN kw ON kw.l_orderkey = o.o_orderkey"""
+    o["xpath_list"] = """
+SELECT 'WOS:' || l_orderkey AS uid, (row_number() OVER (PARTITION BY l_orderkey ORDER BY p_name) - 1)::INTEGER AS pos,
+       p_name AS value
+FROM lineitem JOIN part ON p_partkey = l_partkey"""
     return o
 
 
