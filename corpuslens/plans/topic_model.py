@@ -24,7 +24,7 @@ from corpuslens.session import cut_lineage
 
 @dataclass
 class ModelParams:
-    flow: FlowParams = field(default_factory=FlowParams)
+    flow: FlowParams = field(default_factory=lambda: FlowParams(stemmer="porter2"))
     weighting: str = "tfidf"          # count | tf | tfidf
     norm: str | None = "l2"
     lsa_components: int | None = 135  # None: cluster on the weights directly

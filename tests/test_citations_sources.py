@@ -147,3 +147,32 @@ def test_kv_records_and_stop_words(spark):
     assert words == {"the", "of", "extra"}
     with pytest.raises(ValueError):
         SC.read_stop_words(spark, "inspire")
+
+
+def test_vocabulary_sink_and_scan_round_trip(spark):
+    from corpuslens.operators import filters as FL
+    from corpuslens.operators import text as TX
+    d = tempfile.mkdtemp(prefix="cl-vocab-")
+    vocab = spark.createDataFrame(
+        [("solar cells", 4.0, "solar cell", 12, 1, 0.2, 10.5, 0.4, 1), ("silicon", 1.0, "silicon", 30, 1, 0.5, 28.0, 0.8, 0)],
+        SC.VOCAB_SCHEMA)
+    SC.write_table(vocab, d + "/csv", "csv")
+    SC.write_table(vocab, d + "/pq", "parquet", partition_by=["freq_flag"])
+    back = SC.read_vocabulary(spark, d + "/csv", "csv")
+    assert sorted(back.collect()) == sorted(vocab.collect())
+    assert SC.read_vocabulary(spark, d + "/pq").count() == 2
+    top = FL.top_by(back, "frequency", 1).first()
+    assert top["stem"] == "silicon"
+    assert [r["doc_id"] for r in TX.last_rows(spark.range(10).withColumnRenamed("id", "doc_id"), "doc_id", 3)
+            .collect()] == [9, 8, 7]
+
+
+def test_corpus_csv_scan_requires_id(spark):
+    d = tempfile.mkdtemp(prefix="cl-csv-")
+    with open(os.path.join(d, "c.csv"), "w") as fh:
+        fh.write('Title,Abstract\n"A, b","multi\nline"\n')
+    with pytest.raises(ValueError):
+        SC.read_corpus(spark, d, "csv", "Title string, Abstract string")
+    df = SC.read_corpus(spark, d, "csv", "Title string, Abstract string", create_id=True)
+    r = df.first()
+    assert r["Title"] == "A, b" and r["Abstract"] == "multi\nline" and r["doc_id"] is not None
