@@ -54,6 +54,9 @@ def test_svd_loadings_orthonormal_and_lsa_rows_unit(spark):
         x[d, t] = val
     s = np.linalg.svd(x, compute_uv=False)[:4]
     assert np.allclose(np.sort(model.sigma)[::-1], s, rtol=1e-6)
+    proj = np.array([r["features"].toArray() for r in lsa.orderBy("doc_id").collect()])
+    ev = SV.explained_variance_of(lsa).first()
+    assert math.isclose(ev["total_variance"], float(proj.var(axis=0).sum()), rel_tol=1e-9)
     sc = SV.scree(feats, 12, 4).orderBy("component").collect()
     assert np.allclose([r["sigma"] for r in sc], s, rtol=1e-6)
     assert math.isclose(sum(r["share"] for r in sc), 1.0)
