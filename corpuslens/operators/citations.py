@@ -6,7 +6,6 @@ query), so each operation is a join, never a loop of single-id lookups."""
 
 from __future__ import annotations
 
-import datetime as dt
 import re
 from collections.abc import Sequence
 
@@ -136,7 +135,7 @@ def cited_references(citations: DataFrame, seeds: DataFrame, cited: DataFrame |
     s = seeds.select(F.col(seeds.columns[0]).alias("citing_uid")).distinct()
     refs = citations.join(s, "citing_uid")
     if cited is not None:
-        refs = refs.join(cited, "cited_uid", "left")
+        refs = refs.join(cited.withColumnRenamed(cited_key, "cited_uid"), "cited_uid", "left")
     return refs
 
 

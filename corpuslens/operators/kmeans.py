@@ -125,6 +125,12 @@ def centres_matrix(means: DataFrame, label_col: str = "label") -> tuple[np.ndarr
     return m, labels
 
 
+def best_k(sweep: DataFrame, score: str = "silhouette", largest: bool = True) -> int:
+    """F3/F5 pick: the k with the best score of a sweep table (ties: smaller k)."""
+    order = [F.desc(score) if largest else F.asc(score), F.asc("k")]
+    return int(sweep.where(F.col(score).isNotNull() & ~F.isnan(score)).orderBy(*order).first()["k"])
+
+
 def _lloyd_stats(centres: np.ndarray, labels: list, vec_col: str):
     def run(batches):
         k, d = centres.shape

@@ -6,14 +6,12 @@ different order differ near 1e-12)."""
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions import text as T
 from corpuslens.operators import citations as H
 from corpuslens.operators import features as G
 from corpuslens.operators import filters as FL
