@@ -30,6 +30,18 @@ from corpuslens.sources.corpus import default_stop_words
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_FLOWS: dict[tuple[str, str], CorpusFlow] = {}
+
+
+def _flow(spark: SparkSession, sf: str) -> CorpusFlow:
+    """One checkpointed flow per Spark application and data folder, shared
+    by the registered queries (their stages are identical)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FLOWS:
+        _FLOWS[key] = CorpusFlow(spark, sf)
+    return _FLOWS[key]
+
+
 def _iso(c: str) -> F.Column:
     """Dates leave as ISO text so both engines hand over the same type."""
     return F.date_format(F.col(c), "yyyy-MM-dd").alias(c)
@@ -91,28 +103,28 @@ def q_vocab_union_first(spark, sf):
 
 
 def q_vocab_stop_anti(spark, sf):
-    f = CorpusFlow(spark, sf)
+    f = _flow(spark, sf)
     return f.vocab.select("stem", "phrase", r6("score").alias("score"), "source_rank", "first_doc", "first_pos")
 
 
 # ============================================================ vocabulary filters (D)
 
 def q_postings(spark, sf):
-    return CorpusFlow(spark, sf).postings.select("doc_id", "term", "tf")
+    return _flow(spark, sf).postings.select("doc_id", "term", "tf")
 
 
 def q_term_freq(spark, sf):
-    f = CorpusFlow(spark, sf)
+    f = _flow(spark, sf)
     n, _ = f.stats
     return FL.term_stats(f.vocab, f.postings, n).select("stem", "frequency", "df", r6("fraction").alias("fraction"))
 
 
 def q_freq_filter(spark, sf):
-    return CorpusFlow(spark, sf).freq_flagged.select("stem", "frequency", "df", "kept", "reason")
+    return _flow(spark, sf).freq_flagged.select("stem", "frequency", "df", "kept", "reason")
 
 
 def q_norm_freq(spark, sf):
-    f = CorpusFlow(spark, sf)
+    f = _flow(spark, sf)
     _, mean = f.stats
     post2 = f.postings.join(f.freq_kept.select(F.col("stem").alias("term")), "term", "left_semi")
     return FL.norm_frequency(post2, mean).select(F.col("term").alias("stem"),
@@ -120,36 +132,36 @@ def q_norm_freq(spark, sf):
 
 
 def q_substring_df(spark, sf):
-    f = CorpusFlow(spark, sf)
+    f = _flow(spark, sf)
     return FL.substring_doc_freq(f.docs, f.freq_kept).select("term", "n_occ_doc")
 
 
 def q_cc_ratio(spark, sf):
-    return CorpusFlow(spark, sf).cc_flagged.select(
+    return _flow(spark, sf).cc_flagged.select(
         "stem", r6("norm_frequency").alias("norm_frequency"), "n_occ_doc", r6("cc_ratio").alias("cc_ratio"))
 
 
 def q_cluster_filter(spark, sf):
-    return CorpusFlow(spark, sf).cc_flagged.select("stem", "kept", "reason")
+    return _flow(spark, sf).cc_flagged.select("stem", "kept", "reason")
 
 
 def q_term_corr(spark, sf):
-    f = CorpusFlow(spark, sf)
+    f = _flow(spark, sf)
     n, mean = f.stats
     post3 = f.postings.join(f.cc_kept.select(F.col("stem").alias("term")), "term", "left_semi")
     return FL.term_correlation(post3, n, mean, 0.7).select("t1", "t2", r6("corr").alias("corr"))
 
 
 def q_corr_filter(spark, sf):
-    return CorpusFlow(spark, sf).corr_flagged.select("stem", "kept", "reason")
+    return _flow(spark, sf).corr_flagged.select("stem", "kept", "reason")
 
 
 def q_topic_topk(spark, sf):
-    return CorpusFlow(spark, sf).topics.select("topic_id", "stem", "phrase", r6("cc_ratio").alias("cc_ratio"))
+    return _flow(spark, sf).topics.select("topic_id", "stem", "phrase", r6("cc_ratio").alias("cc_ratio"))
 
 
 def q_filter_audit(spark, sf):
-    f = CorpusFlow(spark, sf)
+    f = _flow(spark, sf)
     return FL.filter_audit({"frequency": f.freq_flagged, "cluster": f.cc_flagged,
                             "correlation": f.corr_flagged})
 
@@ -167,23 +179,23 @@ def q_search_ids(spark, sf):
 
 
 def q_vocab_search(spark, sf):
-    v = CorpusFlow(spark, sf).vocab
+    v = _flow(spark, sf).vocab
     return E.vocab_search(v, "tion", "phrase", "score").select("stem", "phrase", r6("score").alias("score"))
 
 
 # ============================================================ features (G)
 
 def q_feat_count(spark, sf):
-    return CorpusFlow(spark, sf).counts().select("doc_id", "topic_id", "tf")
+    return _flow(spark, sf).counts().select("doc_id", "topic_id", "tf")
 
 
 def q_feat_tf(spark, sf):
-    return G.tf_features(CorpusFlow(spark, sf).counts(), "l2").select("doc_id", "topic_id",
+    return G.tf_features(_flow(spark, sf).counts(), "l2").select("doc_id", "topic_id",
                                                                         r6("value").alias("value"))
 
 
 def q_feat_tfidf(spark, sf):
-    f = CorpusFlow(spark, sf)
+    f = _flow(spark, sf)
     n, _ = f.stats
     return G.tfidf_features(f.counts(), n, "l2").select("doc_id", "topic_id", r6("value").alias("value"))
 
@@ -249,7 +261,7 @@ def q_cluster_sizes(spark, sf):
 
 
 def q_cluster_themes(spark, sf):
-    f = CorpusFlow(spark, sf)
+    f = _flow(spark, sf)
     n, _ = f.stats
     feats = G.tfidf_features(f.counts(), n, "l2")
     labels = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("source").alias("label"))
