@@ -146,14 +146,14 @@ cdot AS (SELECT a.term AS t1, b.term AS t2, sum(a.w * b.w) AS d FROM cw a JOIN c
 corr AS (SELECT t1, t2, (d - s1.s * s2.s / (SELECT n FROM nn))
                 / sqrt((s1.q - s1.s * s1.s / (SELECT n FROM nn)) * (s2.q - s2.s * s2.s / (SELECT n FROM nn))) AS corr
          FROM cdot JOIN csum s1 ON s1.term = t1 JOIN csum s2 ON s2.term = t2),
-cpairs AS (SELECT c.t1, c.t2, a.cc_ratio AS c1, b.cc_ratio AS c2 FROM corr c
+cpairs AS (SELECT c.t1, c.t2, round(a.cc_ratio, 9) AS c1, round(b.cc_ratio, 9) AS c2 FROM corr c
            JOIN ck a ON a.stem = c.t1 JOIN ck b ON b.stem = c.t2 WHERE c.corr > 0.7),
 losers AS (SELECT t1 AS stem FROM cpairs WHERE c1 > c2 UNION SELECT t2 AS stem FROM cpairs WHERE c2 >= c1),
 crf AS (SELECT ck.*, CASE WHEN l.stem IS NOT NULL THEN 'correlated' END AS reason2
         FROM ck LEFT JOIN losers l ON l.stem = ck.stem),
-topics AS (SELECT *, (row_number() OVER (ORDER BY cc_ratio ASC NULLS LAST, stem) - 1)::INTEGER AS topic_id
+topics AS (SELECT *, (row_number() OVER (ORDER BY round(cc_ratio, 9) ASC NULLS LAST, stem) - 1)::INTEGER AS topic_id
            FROM (SELECT c.stem, v.phrase, c.cc_ratio FROM crf c JOIN vf v ON v.stem = c.stem
-                 WHERE reason2 IS NULL ORDER BY c.cc_ratio ASC NULLS LAST, c.stem LIMIT 2000))"""
+                 WHERE reason2 IS NULL ORDER BY round(c.cc_ratio, 9) ASC NULLS LAST, c.stem LIMIT 2000))"""
 
 FEATS = """
 tcount AS (SELECT p.doc_id, t.topic_id, p.tf::DOUBLE AS tf FROM post p JOIN topics t ON t.stem = p.term),
