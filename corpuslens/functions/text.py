@@ -142,6 +142,19 @@ def stem_phrase(c: Column | str, stemmer: str) -> Column:
     return F.array_join(stem_array(F.split(_col(c), " "), stemmer), " ")
 
 
+def distinct_items(arr: Column | str) -> Column:
+    """Distinct items of an array in O(n log n): sort, pair each item with
+    its predecessor, keep the items that differ.  (Spark's array_distinct
+    compares every pair for string items, which is quadratic on long
+    documents.)  Nulls are dropped; the result is sorted."""
+    s = F.array_sort(F.filter(_col(arr), lambda x: x.isNotNull()))
+    prev = F.concat(F.array(F.lit(None).cast("string")), s)
+    pairs = F.arrays_zip(s.alias("cur"), prev.alias("prev"))
+    # the zip pads the shorter side: the last pair has no current item
+    keep = F.filter(pairs, lambda p: p["cur"].isNotNull() & (p["prev"].isNull() | (p["cur"] != p["prev"])))
+    return F.transform(keep, lambda p: p["cur"])
+
+
 def contains_all_words(c: Column | str, search: str, regex: bool = False) -> Column:
     """E1 predicate: every whitespace word of ``search`` occurs in the column,
     case-insensitive.  Literal by default; ``regex=True`` treats words as

@@ -42,7 +42,7 @@ def running_term_counts(stream: DataFrame, col: str = "stems", n_max: int = 1,
     # one aggregation: every occurrence adds to frequency, every distinct
     # term of a row (a document) adds one document
     occ = grams.select(F.explode("_g").alias("term"), F.lit(1).alias("f"), F.lit(0).alias("d"))
-    per_doc = grams.select(F.explode(F.array_distinct("_g")).alias("term"), F.lit(0).alias("f"), F.lit(1).alias("d"))
+    per_doc = grams.select(F.explode(TF.distinct_items("_g")).alias("term"), F.lit(0).alias("f"), F.lit(1).alias("d"))
     return occ.unionByName(per_doc).groupBy("term").agg(F.sum("f").alias("frequency"), F.sum("d").alias("docs"))
 
 
