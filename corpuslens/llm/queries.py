@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, exact, langid, mixing, simhash
+from corpuslens.llm import ann, bpe, chat, exact, langid, mixing, pii, secrets, simhash
 from corpuslens.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,31 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+# ------------------------------------------------------------- 3 secrets
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+# ---------------------------------------------------------------- 4 chat
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_conversations(rows.unionAll(more)))
+
+
+# ------------------------------------------------- 5 nearest neighbours
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, F.col("vec_id") % 20 == 0)
+
+
 # ------------------------------------------------------------ 6 byte BPE
 
 
@@ -54,6 +79,13 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g USING (text_sha256)
 """
 
+# ----------------------------------------------------- 9 personal data
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 # -------------------------------------------------------- 10 language ID
 
 
@@ -72,9 +104,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op3_secrets": op3_secrets,
+    "op4_chat": op4_chat,
+    "op5_neighbours": op5_neighbours,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
 }
 
