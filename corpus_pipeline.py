@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes, a row per copy."""
-    return bpe.round_trip(docs, bpe.default_tokenizer(spark))
+    return bpe.round_trip_digests(docs, bpe.default_tokenizer(spark))
 
 
 STAGES = [

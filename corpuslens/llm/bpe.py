@@ -13,14 +13,14 @@ import base64
 import struct
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.shared import text_or_empty, worker_memo
 
 #: Pre-tokens remembered per Python worker, and the longest that is.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 LONGEST = 64
 
 
@@ -123,11 +123,11 @@ class Tokenizer:
         empty text has no ids."""
         codec = self._codec
 
-        @F.pandas_udf("binary")
-        def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("binary")
+        def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             one = codec()
             for batch in texts:
-                yield pd.Series([one.encode(t) for t in batch], dtype=object)
+                yield pa.array((one.encode(t.as_py()) for t in batch), pa.binary())
 
         out = docs.withColumn(ids_col, encode(text_or_empty(text_col)))
         return out.withColumn(count_col, (F.octet_length(ids_col) / 4).cast("long"))
@@ -137,14 +137,32 @@ class Tokenizer:
         count as none."""
         codec = self._codec
 
-        @F.pandas_udf("binary")
-        def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("binary")
+        def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
             one = codec()
             for batch in ids:
-                yield pd.Series([one.decode(x) for x in batch], dtype=object)
+                yield pa.array((one.decode(x.as_py()) for x in batch), pa.binary())
 
         return docs.withColumn(bytes_col, decode(F.coalesce(F.col(ids_col), F.lit(b""))))
 
+    def round_trip(self, docs: DataFrame, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens",
+                   bytes_col: str = "decoded") -> DataFrame:
+        """``encode`` and then ``decode`` of what it made, in one pass of the
+        workers."""
+        codec = self._codec
+
+        @F.arrow_udf("struct<ids:binary,decoded:binary>")
+        def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            one = codec()
+            for batch in texts:
+                ids = pa.array((one.encode(t.as_py()) for t in batch), pa.binary())
+                decoded = pa.array((one.decode(x.as_py()) for x in ids), pa.binary())
+                yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+
+        out = docs.withColumn("__coded", both(text_or_empty(text_col)))
+        return (out.withColumn(ids_col, F.col("__coded.ids")).withColumn(bytes_col, F.col("__coded.decoded"))
+                .withColumn(count_col, (F.octet_length(ids_col) / 4).cast("long")).drop("__coded"))
+
 
 def default_tokenizer(spark: SparkSession) -> Tokenizer:
     import public_tokenizers
@@ -152,10 +170,9 @@ def default_tokenizer(spark: SparkSession) -> Tokenizer:
     return Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def round_trip(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip_digests(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes, one row per
     row of ``docs``; other columns are not read."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    coded = tokenizer.decode(tokenizer.encode(rows))
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokenizer.round_trip(rows).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

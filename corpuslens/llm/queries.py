@@ -51,7 +51,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.default_tokenizer(spark))
+    return bpe.round_trip_digests(read(spark, sf_dir, "documents"), bpe.default_tokenizer(spark))
 
 
 # -------------------------------------------------------------- 7 mixing
