@@ -3,9 +3,9 @@
 Information-theoretic sanitisation: the words around an entity are counted
 with it over the whole corpus, and all words of the corpus by themselves.  The
 share of a term's occurrences that stand beside an entity estimates how
-strongly the term reveals it, P(entity | term); against the entity's share of
-all words it gives the information in bits.  Terms over the thresholds are
-generalised, the strongest removed."""
+strongly the term reveals it, P(entity | term); against the share of documents
+that hold the entity it gives the information in bits.  Terms over the
+thresholds are generalised, the strongest removed."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ TERM = r"\p{L}{3,}+"
 #: A term is evidence if it stands beside the entity in so many different texts,
 SUPPORT = 3
 #: is generalised from this share of its occurrences and information in bits,
-DISCLOSES, LEAST_BITS = 0.5, 3.0
+DISCLOSES, LEAST_BITS = 0.5, 2.0
 #: and removed from this share.
 REMOVES = 0.9
 
@@ -115,12 +115,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     # partial counts per task are all that is shuffled of the corpus
     counted = words.groupBy("word").agg(F.count("*").alias("all"))
     known = stage(pairs.join(counted, "word"))
-    near_entity = held.select(F.explode("base").alias("b")).groupBy(entity_name(F.col("b")).alias("entity")).agg(
-        F.count("*").alias("times"))
-    entities = near_entity.agg(F.sum("times")).first()[0] or 0
+    holders = held.select("row", F.explode("base").alias("b")).select("row", entity_name(F.col("b")).alias("entity"))
+    spread = holders.distinct().groupBy("entity").agg(F.count("*").alias("rows"))
     share = F.col("n") / F.col("all")
-    bits = F.log2(share / (F.col("times") / F.lit(float(max(entities, 1)))))
-    strong = stage(known.join(near_entity, "entity").where((share >= discloses) & (bits >= least_bits)).select(
+    bits = F.log2(share * F.lit(float(max(held.count(), 1))) / F.col("rows"))
+    strong = stage(known.join(spread, "entity").where((share >= discloses) & (bits >= least_bits)).select(
         "pair", "n", F.least(share, F.lit(1.0)).alias("share")))
     total = strong.agg(F.sum("n")).first()[0] or 0
     met = lookup(beside.select("row", "term", "pair"), strong, "pair", "n", total).where("share is not null")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import ann, bpe, chat, exact, langid, mixing, pii, secrets, simhash
+from corpuslens.llm import ann, bpe, chat, exact, langid, mixing, pii, secrets, simhash, toxicity
 from corpuslens.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+# ------------------------------------------------------------ 2 toxicity
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    known = documents.where(~toxicity.held_out()).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    scored = toxicity.score(documents.select("doc_id", "text"), toxicity.fit(known))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # ------------------------------------------------------------- 3 secrets
 
 
@@ -104,6 +115,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
     "op4_chat": op4_chat,
     "op5_neighbours": op5_neighbours,
