@@ -1,0 +1,144 @@
+import uuid
+
+import numpy as np
+import pytest
+import xxhash
+
+from corpuslens.llm import components, exact, simhash
+from tests.llm.helpers import UP, awkward, frame, prose, sha, words
+
+
+def plain_fingerprint(text):
+    w = words((text or "").translate(UP))
+    shingles = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def plain_components(prints, radius=2):
+    """prints: list of (doc_id, fingerprint); component id per row."""
+    group = list(range(len(prints)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, (_, a) in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j][1]).bit_count() <= radius:
+                group[find(i)] = find(j)
+    out = []
+    for i in range(len(prints)):
+        ids = [prints[j][0] for j in range(len(prints)) if find(j) == find(i) and prints[j][0] is not None]
+        out.append(min(ids, default=None))
+    return out
+
+
+def test_exact_dedup(spark):
+    rows = awkward()
+    got = exact.dedup(frame(spark, rows)).collect()
+    digests = [sha((r[1] or "").translate(UP)) for r in rows]
+    want = []
+    for r, d in zip(rows, digests, strict=True):
+        ids = [q[0] for q, e in zip(rows, digests, strict=True) if e == d]
+        keep = max((i for i in ids if i is not None), default=None)
+        want.append((r[0], keep, len(ids), r[0] == keep, d))
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_exact_keep_one(spark):
+    docs = frame(spark, awkward()).selectExpr("*", "'a' AS digest", "1 AS kept", "2 AS keep_id")
+    kept = exact.keep_one(docs)
+    assert kept.columns == docs.columns
+    texts = [(r.text or "").translate(UP) for r in kept.collect()]
+    assert len(texts) == len(set(texts)) and set(texts) == {(r[1] or "").translate(UP) for r in awkward()}
+    assert exact.keep_one(docs.limit(0)).count() == 0 and exact.dedup(docs.limit(0)).count() == 0
+
+
+def test_lasting_index(spark):
+    table = f"index_{uuid.uuid4().hex}"
+    old = exact.dedup(frame(spark, [(5, "a"), (6, "b")]), table, buckets=4).collect()
+    assert all(r.kept for r in old)
+    new = {r.doc_id: r for r in exact.dedup(frame(spark, [(7, "A"), (8, "c"), (9, "c")]), table, buckets=4).collect()}
+    assert (new[7].keep_id, new[7].kept) == (5, False)
+    assert (new[8].keep_id, new[9].keep_id, new[9].kept) == (9, 9, True)
+    assert spark.table(table).count() == 3
+    # the anti-join reads the index in its buckets: it is not shuffled
+    plan = spark.table(table).join(spark.table(table).hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_masks_cover():
+    masks = simhash.covering_masks(2)
+    for i in range(64):
+        for j in range(64):
+            assert any(not m >> i & 1 and not m >> j & 1 for m in masks)
+
+
+def test_fingerprints_and_groups(spark):
+    rows = awkward()
+    got = simhash.near_duplicates(frame(spark, rows)).select(
+        "doc_id", simhash.fingerprint_hex("fp").alias("fp"), "component_id").collect()
+    prints = [(r[0], plain_fingerprint(r[1])) for r in rows]
+    want = [(i, f"{f:016x}", c) for (i, f), c in zip(prints, plain_components(prints), strict=True)]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("pairwise", [32, 1])
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_links_miss_nothing(spark, monkeypatch, pairwise, radius):
+    """Chains and balls of fingerprints, by pairs and by balls."""
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    r = np.random.default_rng(radius)
+    prints = set()
+    for _ in range(6):
+        at = int(r.integers(0, 1 << 62)) * 2 + 1
+        for _ in range(25):
+            prints.add(at)
+            for b in r.integers(0, 64, int(r.integers(1, radius + 2))):
+                at ^= 1 << int(b)
+    prints = sorted(prints)
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), radius)
+    for e in edges.collect():
+        assert ((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= radius * (1 if pairwise > 1 else 2)
+    roots = {x.node & (1 << 64) - 1: x.root for x in components.connected_components(edges).collect()}
+    want = plain_components([(p, p) for p in prints], radius)
+    for p, w in zip(prints, want, strict=True):
+        for q, v in zip(prints, want, strict=True):
+            same = p == q or (p in roots and q in roots and roots[p] == roots[q])
+            assert same == (w == v)
+
+
+def test_components_of_a_path(spark):
+    n = 200
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in components.connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(n + 1)}, 500: 500, 501: 500}
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def test_near_keep_one(spark):
+    docs = frame(spark, awkward()).selectExpr("*", "'x' AS fp", "1 AS component_id")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
+    prints = [(r[0], plain_fingerprint(r[1])) for r in awkward()]
+    assert ids == sorted(i for (i, _), c in zip(prints, plain_components(prints), strict=True) if i == c)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_long_chain_of_near_copies(spark):
+    """Every copy differs from the one before in one word."""
+    text = prose(5, 400).split()
+    rows = []
+    for i in range(12):
+        text[i * 7] = f"new{i}"
+        rows.append((i, " ".join(text)))
+    got = simhash.near_duplicates(frame(spark, rows)).collect()
+    prints = [(r[0], plain_fingerprint(r[1])) for r in rows]
+    assert {r.doc_id: r.component_id for r in got} == dict(zip(range(12), plain_components(prints), strict=True))
