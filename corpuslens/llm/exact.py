@@ -40,10 +40,9 @@ def absorb(spark: SparkSession, batch: DataFrame, table: str, buckets: int) -> N
     of equal texts within the batch the largest id stands.  Running a batch
     twice adds nothing."""
     index = open_index(spark, table, buckets)
-    ours = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-    fresh = ours.hint("merge").join(index.hint("merge"), "digest", "left_anti")
-    # written aside first: a table can't be read and appended to in one job
-    _append(stage(fresh), table, buckets)
+    # staged, for the optimizer would set the raw rows against the index
+    ours = stage(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id")))
+    _append(ours.hint("merge").join(index.hint("merge"), "digest", "left_anti"), table, buckets)
     spark.catalog.refreshTable(table)
 
 

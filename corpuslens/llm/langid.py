@@ -132,8 +132,8 @@ def _reliability(rows: DataFrame, col: str, classes: int, total: list[float]) ->
 
 def identify(rows: DataFrame, profiles: np.ndarray, languages: tuple[str, ...] = LANGUAGES,
              accept: float = ACCEPT) -> DataFrame:
-    """``rows`` has the columns text, declared, host and any others; the result
-    has those others with lang, posterior, n_grams and accepted.
+    """``rows`` has the columns text, declared, host and one or more others;
+    the result has those others with lang, posterior, n_grams and accepted.
 
     The suffix is the last label of a host with a dot.  Missing evidence (null
     declaration or host, a text without letters, null or empty text) says
@@ -156,13 +156,14 @@ def identify(rows: DataFrame, profiles: np.ndarray, languages: tuple[str, ...] =
                 out.append(total)
             yield pd.Series(out, dtype=object)
 
-    seen = rows.select(*others, "declared", F.lower("host").alias("host"),
+    # the other columns travel in one, so that their names clash with nothing
+    seen = rows.select(F.struct(*others).alias("_others"), "declared", F.lower("host").alias("host"),
                        F.when(F.instr("host", ".") > 0, F.lower(F.substring_index("host", ".", -1))).alias("suffix"),
                        likelihoods(text_or_empty("text")).alias("_sums"))
     grams = F.col("_sums")[classes]
     # overlapping trigrams tell each letter three times
     weight = F.when(grams > 0, F.least(F.lit(1 / 3), MOST_GRAMS / grams)).otherwise(0.0)
-    seen = stage(seen.select(*others, "declared", "host", "suffix", grams.cast("long").alias("n_grams"),
+    seen = stage(seen.select("_others", "declared", "host", "suffix", grams.cast("long").alias("n_grams"),
                              F.transform(F.slice("_sums", 1, classes), lambda x: x * weight).alias("loglik")))
     # empty texts speak for no class, so they are left out of the counts
     spoken = seen.withColumn("soft", F.when(F.col("n_grams") > 0, _softmax(F.col("loglik"))).otherwise(
@@ -195,7 +196,7 @@ def identify(rows: DataFrame, profiles: np.ndarray, languages: tuple[str, ...] =
     post = fused.withColumn("_post", _softmax(logits))
     best = F.array_max("_post")
     name = F.element_at(F.array(*[F.lit(x) for x in (*languages, UNKNOWN)]), F.array_position("_post", best).cast("int"))
-    return post.select(*others, name.alias("lang"), best.alias("posterior"), "n_grams",
+    return post.select("_others.*", name.alias("lang"), best.alias("posterior"), "n_grams",
                        ((F.col("n_grams") > 0) & (name != UNKNOWN) & (best >= accept)).alias("accepted"))
 
 

@@ -60,8 +60,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     The line of a source runs by size class, then by a hash of the id, so that
     copies are spread evenly over long and short texts.  It is cut into cells
     (source, size class, leading bits of the hash); cells are counted with
-    partial aggregation and prefix-summed, and only within a cell are rows
-    ranked, so no task holds a whole source.
+    partial aggregation and prefix-summed in two steps, and only within a cell
+    are rows ranked, so no task holds a whole source.
 
     Null and empty texts have size 0, and a source of size 0 target 0; null is
     a source of its own.  Null ids and repeated rows count like others; equal
@@ -76,12 +76,16 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     cells = stage(rows.groupBy("source", "_class", "_salt").agg(
         F.count("*").alias("_rows"), F.sum("size").alias("_words")))
     targets = source_targets(cells.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_repeat)
-    up_to = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "_class", "_salt", F.coalesce(F.sum("_rows").over(up_to), F.lit(0)).alias("_start"))
-    starts = starts.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select(
-        F.col("c.source").alias("_src"), F.col("_class").alias("_c"), F.col("_salt").alias("_s"),
-        "_start", "source_size", "target")
-    starts = stage(starts)
+    # rows before a size class in its source, and before a cell in its class
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    classes = cells.groupBy("source", "_class").agg(F.sum("_rows").alias("_rows")).select(
+        "source", "_class", F.coalesce(F.sum("_rows").over(before("source", "_class")), F.lit(0)).alias("_below"))
+    classes = classes.alias("k").join(targets.alias("t"), F.expr("k.source <=> t.source")).select(
+        F.col("k.source").alias("_src"), F.col("_class").alias("_c"), "_below", "source_size", "target")
+    within = F.coalesce(F.sum("_rows").over(before("source", "_class", "_salt")), F.lit(0))
+    starts = stage(cells.withColumn("_within", within).join(
+        stage(classes), F.col("source").eqNullSafe(F.col("_src")) & (F.col("_class") == F.col("_c"))).select(
+        "_src", "_c", F.col("_salt").alias("_s"), (F.col("_below") + F.col("_within")).alias("_start"), "source_size", "target"))
     placed = rows.join(
         starts.hint("merge"),
         F.col("source").eqNullSafe(F.col("_src")) & (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_s")))
