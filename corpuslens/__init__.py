@@ -16,7 +16,7 @@ try:
 except Exception:  # pragma: no cover - older pickler: the package must be importable on executors
     pass
 
-from corpuslens.session import get_session, checkpoint_dir, small_enough_to_broadcast  # noqa: E402
+from corpuslens.session import get_session, shared_folder, stage  # noqa: E402
 
-__all__ = ["get_session", "checkpoint_dir", "small_enough_to_broadcast"]
+__all__ = ["get_session", "shared_folder", "stage"]
 __version__ = "0.1.0"

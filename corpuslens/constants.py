@@ -37,7 +37,6 @@ RETRIEVE_SORT_FIELDS = {
     "TC": "times cited", "VL": "volume",
 }
 RETRIEVE_DESC_ONLY = ("RS", "TC")
-RETRIEVE_MAX_COUNT = 100
 # Load-date windows of the symbolic time span, in days.
 SYMBOLIC_TIME_SPANS = {"1week": 7, "2week": 14, "4week": 28}
 # --- end fixed values -------------------------------------------------------

@@ -157,12 +157,12 @@ def distinct_items(arr: Column | str) -> Column:
 
 def contains_all_words(c: Column | str, search: str, regex: bool = False) -> Column:
     """E1 predicate: every whitespace word of ``search`` occurs in the column,
-    case-insensitive.  Literal by default; ``regex=True`` treats words as
-    Java regexes.  Null text never matches."""
+    case-insensitive (Unicode).  Literal by default; ``regex=True`` treats words
+    as Java regexes on the text as it is.  Null text never matches."""
     words = search.split()
     col = _col(c)
     low = F.lower(col)
     pred = col.isNotNull()
     for w in words:
-        pred = pred & (low.rlike("(?i)" + w) if regex else low.contains(w.lower()))
+        pred = pred & (col.rlike("(?iu)" + w) if regex else low.contains(w.lower()))
     return pred

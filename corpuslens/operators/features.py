@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators import filters as FL
-from corpuslens.session import small_enough_to_broadcast
-
-MAX_TOPICS_BROADCAST = 1_000_000
 
 
 def count_features(docs: DataFrame, topics: DataFrame, n_min: int = 1, n_max: int = 5,
@@ -22,7 +19,7 @@ def count_features(docs: DataFrame, topics: DataFrame, n_min: int = 1, n_max: in
         n_min = 1  # a zero-gram adds only empty strings, which no topic matches
     tmap = topics.select(F.col("stem").alias("term"), "topic_id")
     post = FL.postings(docs, topics, n_min, n_max, "stem", id_col)
-    return (post.join(small_enough_to_broadcast(tmap, MAX_TOPICS_BROADCAST), "term")
+    return (post.join(tmap, "term")
             .select(id_col, "n_words", "topic_id", F.col("tf").cast("double").alias("tf")))
 
 
@@ -59,9 +56,8 @@ def idf_table(counts: DataFrame, n_docs: int, smooth: bool = True) -> DataFrame:
 def tfidf_features(counts: DataFrame, n_docs: int, norm: str | None = "l2",
                    smooth: bool = True, id_col: str = "doc_id") -> DataFrame:
     """Tf * idf, then the row norm.  The idf table has one row per topic
-    (bounded by the topic count) and is broadcast after a size check."""
-    idf = small_enough_to_broadcast(idf_table(counts, n_docs, smooth).select("topic_id", "idf"),
-                                    MAX_TOPICS_BROADCAST)
+    and is joined once; Spark broadcasts it below its size threshold."""
+    idf = idf_table(counts, n_docs, smooth).select("topic_id", "idf")
     v = counts.join(idf, "topic_id").select(id_col, "topic_id", (F.col("tf") * F.col("idf")).alias("value"))
     return _row_norm(v, "value", norm, id_col)
 
@@ -76,11 +72,6 @@ def l2_normalise_array(col) -> F.Column:
         .otherwise(F.transform(c, lambda x: F.lit(0.0)))
 
 
-def array_norm(col) -> F.Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-
-
 def euclidean_distance(x, y) -> F.Column:
     """Euclidean distance of two equal-length array columns."""
     xc = F.col(x) if isinstance(x, str) else x

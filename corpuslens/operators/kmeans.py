@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.session import small_enough_to_broadcast
+from corpuslens.session import stage
 
-MAX_CENTRE_CELLS = 10_000_000  # k x d held by the driver / shipped to tasks
 
 
 def hash_fraction(id_col: str, seed: int) -> F.Column:
@@ -31,50 +30,57 @@ def train_test_split(df: DataFrame, test_size: float = 0.25, seed: int = 0,
 
 
 def renumber_labels(pred: DataFrame, label_col: str = "label", id_col: str = "doc_id") -> DataFrame:
-    """Label numbers by (size desc, smallest id) so runs compare.
-    The map has one row per cluster (k rows) and is broadcast."""
+    """Label numbers by (size desc, smallest id) so runs compare.  ``pred``
+    is read twice: pass a staged or persisted table."""
     sizes = pred.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_m"))
     order = Window.orderBy(F.desc("_n"), F.asc("_m"))
     mapping = sizes.select(label_col, (F.row_number().over(order) - 1).alias("_new"))
-    return (pred.join(small_enough_to_broadcast(mapping), label_col)
+    return (pred.join(mapping, label_col)
             .drop(label_col).withColumnRenamed("_new", label_col))
 
 
-def kmeans_fit(feats: DataFrame, k: int | None = None, seed: int = 0, max_iter: int = 20,
+def kmeans_fit(feats: DataFrame, k: int | None = None, seed: int = 0, max_iter: int = 300,
                features_col: str = "features", id_col: str = "doc_id"):
     """Spark ML k-means (k-means|| init).  ``k`` defaults to int(sqrt(N)).
-    Returns (labels ``(doc_id, label)``, model)."""
+    Returns (labels ``(id, label)``, model).  It ends when the centres rest;
+    ``model.summary.numIter`` below ``max_iter`` tells that they do."""
     from pyspark.ml.clustering import KMeans
     if k is None:
         k = max(2, int(math.sqrt(feats.count())))
+    feats = feats.persist()
     model = KMeans(k=int(k), seed=seed, maxIter=max_iter, featuresCol=features_col,
                    predictionCol="label").fit(feats)
-    labels = renumber_labels(model.transform(feats).select(id_col, "label"), "label", id_col)
-    return labels, model
+    pred = stage(model.transform(feats).select(id_col, "label"))
+    feats.unpersist()
+    return renumber_labels(pred, "label", id_col), model
 
 
 def kmeans_sweep(feats: DataFrame, k_min: int = 5, k_max: int = 100, step: int = 5,
                  test_size: float = 0.25, seed: int = 0, features_col: str = "features",
-                 id_col: str = "doc_id") -> DataFrame:
+                 id_col: str = "doc_id", max_iter: int = 300, sil_fraction: float | None = None) -> DataFrame:
     """fits for k in k_min..k_max (inclusive) on the train part; on the
-    test part the silhouette (squared Euclidean, Spark's exact closed form).
-    ``(k, inertia, silhouette)``; the best k is the argmax silhouette."""
+    test part (a seeded hash sample of it with ``sil_fraction``) the silhouette
+    (squared Euclidean, Spark's exact closed form).  ``(k, inertia,
+    silhouette, n_iter, converged)``; the best k is the argmax silhouette."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     train, test = train_test_split(feats, test_size, seed, id_col)
+    if sil_fraction is not None:
+        test = test.where(hash_fraction(id_col, seed + 1) < sil_fraction)
     train = train.persist()
     test = test.persist()
     ev = ClusteringEvaluator(featuresCol=features_col, predictionCol="prediction",
                              distanceMeasure="squaredEuclidean")
     rows = []
     for k in range(int(k_min), int(k_max) + 1, int(step)):
-        m = KMeans(k=k, seed=seed, featuresCol=features_col).fit(train)
+        m = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features_col).fit(train)
         pred = m.transform(test)
         sil = ev.evaluate(pred) if pred.select("prediction").distinct().count() > 1 else float("nan")
-        rows.append((k, float(m.summary.trainingCost), float(sil)))
+        rows.append((k, float(m.summary.trainingCost), float(sil), int(m.summary.numIter),
+                     bool(m.summary.numIter < max_iter)))
     train.unpersist()
     test.unpersist()
-    return feats.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return feats.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, n_iter int, converged boolean")
 
 
 def _assign_batches(centres: np.ndarray, vec_col: str, id_col: str):
@@ -97,11 +103,10 @@ def assign_nearest(points: DataFrame, centres: np.ndarray, vec_col: str = "embed
     """Nearest centre per point ``(id, label, dist2)``.  The k x d centre
     matrix is bounded by k and shipped with the task; points stream through
     vectorised numpy over Arrow batches (no points x centres join)."""
-    if centres.size > MAX_CENTRE_CELLS:
-        raise ValueError("too many centre cells to ship to tasks")
+    kind = points.schema[id_col].dataType.simpleString()
     return points.select(id_col, vec_col).mapInPandas(
         _assign_batches(np.asarray(centres, dtype=float), vec_col, id_col),
-        f"{id_col} long, label int, dist2 double")
+        f"`{id_col}` {kind}, label int, dist2 double")
 
 
 def group_means(points: DataFrame, label_col: str, vec_col: str) -> DataFrame:
@@ -111,10 +116,7 @@ def group_means(points: DataFrame, label_col: str, vec_col: str) -> DataFrame:
 
 
 def centres_matrix(means: DataFrame, label_col: str = "label") -> tuple[np.ndarray, list]:
-    """Collect a (k x d) centre table; bounded by k x d."""
-    n = means.count()
-    if n > MAX_CENTRE_CELLS:
-        raise ValueError("centre table too large")
+    """The centre table (a row per cluster and dimension) as a matrix."""
     pdf = means.toPandas()
     labels = sorted(pdf[label_col].unique().tolist())
     d = int(pdf["dim"].max()) + 1

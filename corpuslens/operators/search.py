@@ -10,7 +10,8 @@ from corpuslens.functions.text import contains_all_words
 
 def search_rows(df: DataFrame, col: str, search: str, regex: bool = False) -> DataFrame:
     """Rows whose column holds every whitespace word of ``search``
-    (case-insensitive; literal unless ``regex``).  A pushed-down filter."""
+    (case-insensitive; literal unless ``regex``).  A filter on the scanned
+    column; only its not-null part can be pushed into the file reader."""
     return df.where(contains_all_words(col, search, regex))
 
 

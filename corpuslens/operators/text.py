@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.functions.porter2 import stem as porter2_stem
-from corpuslens.session import small_enough_to_broadcast
 
 NATIVE_STEMMERS = ("none", "s")
 STEMMERS = NATIVE_STEMMERS + ("porter2",)
@@ -25,16 +24,6 @@ def require_columns(df: DataFrame, *cols: str) -> None:
         raise ValueError(f"missing column(s) {missing}; have {df.columns}")
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Text work is CPU-bound per byte.  When the input has fewer splits than
-    the cluster has cores (a few large files), spread the rows round-robin
-    over ``per_core`` tasks per core; a large input is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * per_core)
-    return df
-
-
 def build_corpus(df: DataFrame, text_cols: Sequence[str], id_col: str = "doc_id",
                  out: str = "corpus", remove: Sequence[str] | None = None,
                  to_space: Sequence[str] | None = None) -> DataFrame:
@@ -86,13 +75,11 @@ def stem_tokens(df: DataFrame, stemmer: str, col: str = "tokens", out: str = "st
 
     Native stemmers map the array in place.  A Python stemmer goes through
     the distinct-token dictionary: tokens are exploded with their position,
-    joined to the dictionary (broadcast only when its size is proven small)
-    and re-assembled per document in position order."""
+    joined to the dictionary and re-assembled per document in position order."""
     require_columns(df, id_col, col)
     if stemmer in NATIVE_STEMMERS:
         return df.withColumn(out, T.stem_array(col, stemmer))
     dictionary = dictionary if dictionary is not None else stem_dictionary(df, stemmer, col)
-    dictionary = small_enough_to_broadcast(dictionary.persist())
     exploded = df.select(id_col, F.posexplode(col).alias("pos", "token"))
     stems = (exploded.join(dictionary, "token", "left")
              .groupBy(id_col)
@@ -110,7 +97,6 @@ def stem_terms(df: DataFrame, stemmer: str, col: str = "phrase", out: str = "ste
     with_words = df.withColumn("_w", F.split(col, " "))
     if dictionary is None:
         dictionary = stem_dictionary(with_words, stemmer, "_w")
-    dictionary = small_enough_to_broadcast(dictionary.persist())
     exploded = with_words.select(col, F.posexplode("_w").alias("pos", "token")).distinct()
     stems = (exploded.join(dictionary, "token", "left")
              .groupBy(col)
@@ -133,6 +119,9 @@ def ngram_counts(df: DataFrame, col: str = "tokens", n_min: int = 1, n_max: int
             .withColumn("n", T.phrase_words("gram")))
 
 
-def last_rows(df: DataFrame, order_col: str, n: int) -> DataFrame:
-    """The ``n`` last rows by a total order (positional tail)."""
-    return df.orderBy(F.desc(order_col)).limit(n)
+def last_rows(df: DataFrame, order_cols: str | Sequence[str], n: int) -> DataFrame:
+    """The ``n`` last rows by a total order (positional tail).  Columns
+    after the first break ties; rows that agree in all of them are equal to
+    the caller."""
+    cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    return df.orderBy(*[F.desc(c) for c in cols]).limit(n)

@@ -3,90 +3,110 @@ registered queries, the bench and the end-to-end topic model."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.constants import RAKE_MAX_WORDS
 from corpuslens.functions import text as T
 from corpuslens.operators import filters as FL
 from corpuslens.operators import text as TX
 from corpuslens.operators import vocab as V
-from corpuslens.session import cut_lineage
-from corpuslens.sources.corpus import default_stop_words
+from corpuslens.session import stage
+from corpuslens.sources import corpus as C
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepared_docs(spark: SparkSession, sf_dir: str, english_only: bool = True,
-                  stemmer: str = "s") -> DataFrame:
-    """documents -> ``(doc_id, corpus, tokens, stems, n_words)``."""
-    docs = read(spark, sf_dir, "documents")
-    if english_only:
-        docs = docs.where(F.col("lang") == "en")
-    docs = TX.spread(docs)
-    docs = TX.build_corpus(docs, ["source", "text"])
+def prepare(docs: DataFrame, text_cols: Sequence[str], stemmer: str = "s", remove: Sequence[str] | None = None,
+            to_space: Sequence[str] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """A corpus table -> ``(doc_id, corpus, tokens, n_words, stems)``, one row
+    per document; ids keep their type."""
+    docs = TX.build_corpus(docs, text_cols, id_col, remove=remove, to_space=to_space)
     docs = TX.tokenize(docs).withColumn("n_words", T.word_count("corpus"))
-    docs = docs.select("doc_id", "corpus", "tokens", "n_words")
-    return TX.stem_tokens(docs, stemmer)
+    return TX.stem_tokens(docs.select(F.col(id_col).alias("doc_id"), "corpus", "tokens", "n_words"), stemmer)
+
+
+def prepared_docs(spark: SparkSession, sf_dir: str, stemmer: str = "s") -> DataFrame:
+    """``prepare`` on the whole ``documents`` table."""
+    return prepare(read(spark, sf_dir, "documents"), ["source", "text"], stemmer)
 
 
 @dataclass
 class FlowParams:
     stemmer: str = "s"
-    vocab_type: str = "word_rake"
+    vocab_type: str = "word_rake"          # or "word"
+    max_phrase_words: int = RAKE_MAX_WORDS
+    score_lower: float = -10000
+    score_upper: float = 10000
+    n_min: int = 1                         # shortest and longest n-gram counted
     n_max: int = 5
     min_freq: int = 5
-    max_doc_fraction: float = 0.8
+    max_freq: int | None = None            # count bound; then no fraction bound
+    max_doc_fraction: float | None = 0.8
     phrase_pref: float = 1.0
     cc_threshold: float = 0.9
-    cc_match: str = "substring"
+    cc_match: str = "substring"            # or "token"
     corr_threshold: float = 0.7
+    corr_ties: str = "stem"                # or "both"
     n_topics: int = 2000
+    rank_col: str = "cc_ratio"
+    rank_ascending: bool = True
+    stop_kind: str = "nltk-english"        # or "custom"
+    stop_path: str | None = None
+    stop_addons: Sequence[str] | None = None
 
 
 class CorpusFlow:
-    """Lazily built, persisted stages of the vocabulary reduction.
+    """Stages of the vocabulary reduction, each written when it is first
+    asked for (columns in the shared folder; later stages read only theirs).
+    Nothing is held on the driver except N and the mean document length."""
 
-    Persisted stages (MEMORY_AND_DISK) are recomputed from lineage if an
-    executor is lost; nothing is held on the driver except N and the mean
-    document length."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, params: FlowParams | None = None,
-                 docs: DataFrame | None = None, stop_words: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, docs: DataFrame, params: FlowParams | None = None,
+                 stop_words: DataFrame | None = None):
         self.spark = spark
         self.p = params or FlowParams()
-        self.docs = (docs if docs is not None else prepared_docs(spark, sf_dir, True, self.p.stemmer))
-        self.docs = cut_lineage(self.docs)
-        self.stop_words = stop_words if stop_words is not None else default_stop_words(spark)
-        self._cache: dict[str, object] = {}
-
-    def _memo(self, key, fn):
-        if key not in self._cache:
-            self._cache[key] = fn()
-        return self._cache[key]
-
-    def _persist(self, df: DataFrame) -> DataFrame:
-        """Materialise a stage into the shared checkpoint folder.  This cuts
-        the lineage (later stages plan against a short plan) and survives
-        the loss of executors."""
-        return cut_lineage(df)
+        self.docs = stage(docs)
+        self.stop_words = stop_words if stop_words is not None else C.read_stop_words(
+            spark, self.p.stop_kind, self.p.stop_path, self.p.stop_addons)
+        self._held: dict[str, object] = {}
+
+    @classmethod
+    def of_tables(cls, spark: SparkSession, sf_dir: str, params: FlowParams | None = None) -> CorpusFlow:
+        """The flow over the ``documents`` table."""
+        p = params or FlowParams()
+        return cls(spark, prepared_docs(spark, sf_dir, p.stemmer), p)
+
+    @classmethod
+    def of_corpus(cls, corpus: DataFrame, text_cols: Sequence[str], params: FlowParams | None = None,
+                  id_col: str = "doc_id", remove: Sequence[str] | None = None,
+                  to_space: Sequence[str] | None = None) -> CorpusFlow:
+        """The flow over any corpus table, such as ``read_corpus`` gives."""
+        p = params or FlowParams()
+        return cls(corpus.sparkSession, prepare(corpus, text_cols, p.stemmer, remove, to_space, id_col), p)
+
+    def _once(self, key, make):
+        if key not in self._held:
+            self._held[key] = make()
+        return self._held[key]
 
     @property
     def stats(self) -> tuple[int, float]:
-        return self._memo("stats", lambda: FL.corpus_stats(self.docs))
+        return self._once("stats", lambda: FL.corpus_stats(self.docs))
 
     @property
     def vocab(self) -> DataFrame:
-        return self._memo("vocab", lambda: self._persist(V.create_vocabulary(
-            self.docs, self.stop_words, self.p.stemmer, self.p.vocab_type)))
+        return self._once("vocab", lambda: stage(V.create_vocabulary(
+            self.docs, self.stop_words, self.p.stemmer, self.p.vocab_type, self.p.score_lower, self.p.score_upper,
+            max_words=self.p.max_phrase_words)))
 
     @property
     def postings(self) -> DataFrame:
-        return self._memo("post", lambda: self._persist(
-            FL.postings(self.docs, self.vocab, 1, self.p.n_max)))
+        return self._once("post", lambda: stage(FL.postings(self.docs, self.vocab, self.p.n_min, self.p.n_max)))
 
     def _restrict(self, terms: DataFrame) -> DataFrame:
         return self.postings.join(terms.select(F.col("stem").alias("term")), "term", "left_semi")
@@ -94,45 +114,67 @@ class CorpusFlow:
     @property
     def freq_flagged(self) -> DataFrame:
         n, _ = self.stats
-        return self._memo("ff", lambda: self._persist(FL.freq_filter(
-            self.vocab, self.postings, n, self.p.min_freq, None, self.p.max_doc_fraction)))
+        fraction = None if self.p.max_freq is not None else self.p.max_doc_fraction
+        return self._once("ff", lambda: stage(FL.freq_filter(
+            self.vocab, self.postings, n, self.p.min_freq, self.p.max_freq, fraction)))
 
     @property
     def freq_kept(self) -> DataFrame:
         return FL.kept_only(self.freq_flagged)
 
-    @property
-    def cc_flagged(self) -> DataFrame:
+    def cc_flagged_by(self, match: str) -> DataFrame:
         n, mean = self.stats
-        return self._memo("cf", lambda: self._persist(FL.cluster_filter(
+        return self._once(f"cf {match}", lambda: stage(FL.cluster_filter(
             self.freq_kept, self.docs, self._restrict(self.freq_kept), n, mean, self.p.phrase_pref,
-            self.p.cc_threshold, self.p.cc_match)))
+            self.p.cc_threshold, match)))
+
+    @property
+    def cc_flagged(self) -> DataFrame:
+        return self.cc_flagged_by(self.p.cc_match)
 
     @property
     def cc_kept(self) -> DataFrame:
         return FL.kept_only(self.cc_flagged)
 
     @property
-    def corr_flagged(self) -> DataFrame:
+    def correlated(self) -> DataFrame:
+        """Pairs above the correlation threshold."""
         n, mean = self.stats
-        return self._memo("crf", lambda: self._persist(FL.corr_filter(
-            self.cc_kept, self._restrict(self.cc_kept), n, mean, self.p.corr_threshold)))
+        return self._once("pairs", lambda: stage(FL.term_correlation(
+            self._restrict(self.cc_kept), n, mean, self.p.corr_threshold)))
+
+    def corr_flagged_by(self, ties: str) -> DataFrame:
+        return self._once(f"crf {ties}", lambda: stage(FL.drop_correlated(self.cc_kept, self.correlated, ties)))
+
+    @property
+    def corr_flagged(self) -> DataFrame:
+        return self.corr_flagged_by(self.p.corr_ties)
 
     @property
     def topics(self) -> DataFrame:
-        return self._memo("topics", lambda: self._persist(
-            FL.topic_threshold(FL.kept_only(self.corr_flagged), self.p.n_topics)))
+        return self._once("topics", lambda: stage(FL.topic_threshold(
+            FL.kept_only(self.corr_flagged), self.p.n_topics, self.p.rank_col, self.p.rank_ascending)))
 
+    @property
     def counts(self) -> DataFrame:
-        """G1 from the persisted postings (topics are a subset of the
-        vocabulary, so their counts are already there)."""
-        from corpuslens.session import small_enough_to_broadcast
-        tmap = self.topics.select(F.col("stem").alias("term"), "topic_id")
-        return (self.postings.join(small_enough_to_broadcast(tmap), "term")
-                .select("doc_id", "n_words", "topic_id", F.col("tf").cast("double").alias("tf")))
-
-    def release(self) -> None:
-        for v in self._cache.values():
-            if isinstance(v, DataFrame):
-                v.unpersist()
-        self.docs.unpersist()
+        """G1 from the postings (topics are part of the vocabulary, so their
+        counts are there)."""
+        return self._once("counts", lambda: stage(
+            self.postings.join(self.topics.select(F.col("stem").alias("term"), "topic_id"), "term")
+            .select("doc_id", "n_words", "topic_id", F.col("tf").cast("double").alias("tf"))))
+
+
+class Flows:
+    """The flows of one registry, by application, folder and state of the
+    files that they read."""
+
+    def __init__(self):
+        self._held: dict[tuple, CorpusFlow] = {}
+
+    def of(self, spark: SparkSession, sf_dir: str) -> CorpusFlow:
+        files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet")
+        state = files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first()
+        key = (spark.sparkContext.applicationId, sf_dir, *state)
+        if key not in self._held:
+            self._held[key] = CorpusFlow.of_tables(spark, sf_dir)
+        return self._held[key]

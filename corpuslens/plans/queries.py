@@ -6,7 +6,6 @@ different order differ near 1e-12)."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,25 +22,14 @@ from corpuslens.operators import text as TX
 from corpuslens.operators import themes as TH
 from corpuslens.operators import vocab as V
 from corpuslens.plans import sql as S
-from corpuslens.plans.corpus_flow import CorpusFlow, prepared_docs, read
-from corpuslens.session import small_enough_to_broadcast
+from corpuslens.plans.corpus_flow import CorpusFlow, Flows, prepared_docs, read
+from corpuslens.session import new_path, stage
+from corpuslens.sources import corpus as C
 from corpuslens.sources.corpus import default_stop_words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_FLOWS: dict[tuple[str, str], CorpusFlow] = {}
-
-
-def _flow(spark: SparkSession, sf: str) -> CorpusFlow:
-    """One checkpointed flow per Spark application and data folder, shared
-    by the registered queries (their stages are identical)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FLOWS:
-        _FLOWS[key] = CorpusFlow(spark, sf)
-    return _FLOWS[key]
-
-
 def _iso(c: str) -> F.Column:
     """Dates leave as ISO text so both engines hand over the same type."""
     return F.date_format(F.col(c), "yyyy-MM-dd").alias(c)
@@ -102,66 +90,58 @@ def q_vocab_union_first(spark, sf):
                                           "first_doc", "first_pos")
 
 
-def q_vocab_stop_anti(spark, sf):
-    f = _flow(spark, sf)
+def q_vocab_stop_anti(f):
     return f.vocab.select("stem", "phrase", r6("score").alias("score"), "source_rank", "first_doc", "first_pos")
 
 
 # ============================================================ vocabulary filters (D)
 
-def q_postings(spark, sf):
-    return _flow(spark, sf).postings.select("doc_id", "term", "tf")
+def q_postings(f):
+    return f.postings.select("doc_id", "term", "tf")
 
 
-def q_term_freq(spark, sf):
-    f = _flow(spark, sf)
+def q_term_freq(f):
     n, _ = f.stats
     return FL.term_stats(f.vocab, f.postings, n).select("stem", "frequency", "df", r6("fraction").alias("fraction"))
 
 
-def q_freq_filter(spark, sf):
-    return _flow(spark, sf).freq_flagged.select("stem", "frequency", "df", "kept", "reason")
+def q_freq_filter(f):
+    return f.freq_flagged.select("stem", "frequency", "df", "kept", "reason")
 
 
-def q_norm_freq(spark, sf):
-    f = _flow(spark, sf)
+def q_norm_freq(f):
     _, mean = f.stats
     post2 = f.postings.join(f.freq_kept.select(F.col("stem").alias("term")), "term", "left_semi")
     return FL.norm_frequency(post2, mean).select(F.col("term").alias("stem"),
                                                  r6("norm_frequency").alias("norm_frequency"))
 
 
-def q_substring_df(spark, sf):
-    f = _flow(spark, sf)
+def q_substring_df(f):
     return FL.substring_doc_freq(f.docs, f.freq_kept).select("term", "n_occ_doc")
 
 
-def q_cc_ratio(spark, sf):
-    return _flow(spark, sf).cc_flagged.select(
+def q_cc_ratio(f):
+    return f.cc_flagged.select(
         "stem", r6("norm_frequency").alias("norm_frequency"), "n_occ_doc", r6("cc_ratio").alias("cc_ratio"))
 
 
-def q_cluster_filter(spark, sf):
-    return _flow(spark, sf).cc_flagged.select("stem", "kept", "reason")
+def q_cluster_filter(f):
+    return f.cc_flagged.select("stem", "kept", "reason")
 
 
-def q_term_corr(spark, sf):
-    f = _flow(spark, sf)
-    n, mean = f.stats
-    post3 = f.postings.join(f.cc_kept.select(F.col("stem").alias("term")), "term", "left_semi")
-    return FL.term_correlation(post3, n, mean, 0.7).select("t1", "t2", r6("corr").alias("corr"))
+def q_term_corr(f):
+    return f.correlated.select("t1", "t2", r6("corr").alias("corr"))
 
 
-def q_corr_filter(spark, sf):
-    return _flow(spark, sf).corr_flagged.select("stem", "kept", "reason")
+def q_corr_filter(f):
+    return f.corr_flagged.select("stem", "kept", "reason")
 
 
-def q_topic_topk(spark, sf):
-    return _flow(spark, sf).topics.select("topic_id", "stem", "phrase", r6("cc_ratio").alias("cc_ratio"))
+def q_topic_topk(f):
+    return f.topics.select("topic_id", "stem", "phrase", r6("cc_ratio").alias("cc_ratio"))
 
 
-def q_filter_audit(spark, sf):
-    f = _flow(spark, sf)
+def q_filter_audit(f):
     return FL.filter_audit({"frequency": f.freq_flagged, "cluster": f.cc_flagged,
                             "correlation": f.corr_flagged})
 
@@ -178,26 +158,25 @@ def q_search_ids(spark, sf):
         .groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
 
 
-def q_vocab_search(spark, sf):
-    v = _flow(spark, sf).vocab
+def q_vocab_search(f):
+    v = f.vocab
     return E.vocab_search(v, "tion", "phrase", "score").select("stem", "phrase", r6("score").alias("score"))
 
 
 # ============================================================ features (G)
 
-def q_feat_count(spark, sf):
-    return _flow(spark, sf).counts().select("doc_id", "topic_id", "tf")
+def q_feat_count(f):
+    return f.counts.select("doc_id", "topic_id", "tf")
 
 
-def q_feat_tf(spark, sf):
-    return G.tf_features(_flow(spark, sf).counts(), "l2").select("doc_id", "topic_id",
+def q_feat_tf(f):
+    return G.tf_features(f.counts, "l2").select("doc_id", "topic_id",
                                                                         r6("value").alias("value"))
 
 
-def q_feat_tfidf(spark, sf):
-    f = _flow(spark, sf)
+def q_feat_tfidf(f):
     n, _ = f.stats
-    return G.tfidf_features(f.counts(), n, "l2").select("doc_id", "topic_id", r6("value").alias("value"))
+    return G.tfidf_features(f.counts, n, "l2").select("doc_id", "topic_id", r6("value").alias("value"))
 
 
 def q_l2_normalise(spark, sf):
@@ -217,7 +196,7 @@ def q_distance(spark, sf):
     centre = means.groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("_c")) \
         .select("label", F.col("_c.mean").alias("centre"))
-    j = e.join(small_enough_to_broadcast(centre), "label")
+    j = e.join(centre, "label")
     return j.select("vec_id", "label", r6(G.euclidean_distance("embedding", "centre")).alias("dist"))
 
 
@@ -243,7 +222,7 @@ def q_gmm_estep_diag(spark, sf):
     p, labels = _label_params(e)
     pred = GM.gmm_predict(e, p, "embedding", "vec_id")
     lab = spark.createDataFrame(list(enumerate(labels)), "label int, given int")
-    return (pred.join(small_enough_to_broadcast(lab), "label")
+    return (pred.join(lab, "label")
             .select("vec_id", F.col("given").alias("label"), r6("p").alias("p"), r6("loglik").alias("loglik")))
 
 
@@ -260,22 +239,36 @@ def q_cluster_sizes(spark, sf):
     return KM.cluster_sizes(labels, d, "label", "corpus")
 
 
-def q_cluster_themes(spark, sf):
-    f = _flow(spark, sf)
+def q_cluster_themes(f):
+    """Documents by their source; the label is the corpus text up to its
+    first stop, which is how the flow wrote it."""
+    return _themes(f).select("label", "rank", "topic_id", "phrase", r6("weight").alias("weight"))
+
+
+def _labels(f: CorpusFlow):
+    return f.docs.select("doc_id", F.substring_index("corpus", ".", 1).alias("label"))
+
+
+def _themes(f: CorpusFlow):
     n, _ = f.stats
-    feats = G.tfidf_features(f.counts(), n, "l2")
-    labels = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("source").alias("label"))
-    th = TH.themes_from_labels(feats, labels, f.topics, 10)
-    return th.select("label", "rank", "topic_id", "phrase", r6("weight").alias("weight"))
+    return TH.themes_from_labels(G.tfidf_features(f.counts, n, "l2"), _labels(f), f.topics, 10)
+
+
+def q_themes_wide(f):
+    return TH.themes_wide(_themes(f), 3, KM.cluster_sizes(_labels(f), f.docs, "label", "corpus"))
 
 
 def q_cluster_map(spark, sf):
+    """Given coordinates: the norms of either half of an embedding."""
     e = read(spark, sf, "embeddings")
     labels = e.select(F.col("vec_id").alias("doc_id"), "label")
-    coords = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding")[0].cast("double").alias("x"),
-                      F.col("embedding")[1].cast("double").alias("y"))
-    return TH.cluster_map(labels, coords).select("label", r6("x_median").alias("x_median"),
-                                                 r6("y_median").alias("y_median"), "n_mapped")
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    half = (F.size("embedding") / 2).cast("int")
+    coords = e.select(F.col("vec_id").alias("doc_id"), norm(F.slice("embedding", F.lit(1), half)).alias("x"),
+                      norm(F.slice("embedding", half + 1, F.size("embedding"))).alias("y"))
+    sizes = KM.cluster_sizes(labels, label_col="label")
+    return TH.cluster_map(labels, coords, sizes).select("label", r6("x_median").alias("x_median"),
+                                                        r6("y_median").alias("y_median"), "n_mapped", "doc_count")
 
 
 # ============================================================ citations (H)
@@ -395,10 +388,15 @@ def _record_structs(spark, sf):
 
 
 def q_xml_records(spark, sf):
-    from corpuslens.session import checkpoint_dir
+    """Records of two pages: all of them, and once more those that a second
+    page repeats (odd order keys), some of them twice."""
     from corpuslens.sources import xml as SX
-    path = f"{checkpoint_dir(spark)}/xml-records-{uuid.uuid4().hex}"
-    SX.write_records(_record_structs(spark, sf), path)
+    path = new_path(spark, "xml-records")
+    rec = _record_structs(spark, sf)
+    again = rec.where("cast(substring(UID, 5) AS long) % 2 = 1")
+    SX.write_records(rec, f"{path}/page1")
+    SX.write_records(again.unionAll(again.where("cast(substring(UID, 5) AS long) % 3 = 0")), f"{path}/page2")
+    path = f"{path}/*"
     rec = SX.merge_pages(SX.read_records(spark, path))
     out = SX.project_records(rec, flat=True)
     return out.select("uid", "authors", "title", "source", "publication_year",
@@ -413,34 +411,262 @@ def q_xpath_list(spark, sf):
     return SX.xpath_list(xml, "xml", "REC/static_data/fullrecord_metadata/keywords/keyword/text()", "uid")
 
 
+# ============================================================ files
+
+def q_corpus_csv(spark, sf):
+    """The documents written as CSV and read again."""
+    path = new_path(spark, "corpus-csv")
+    C.write_table(read(spark, sf, "documents").select("doc_id", "source", "text"), path, "csv")
+    back = C.read_corpus(spark, path, "csv", "doc_id long, source string, text string", check_unique=True)
+    return back.select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+def q_vocab_file(f):
+    """A vocabulary written as CSV and read again."""
+    path = new_path(f.spark, "vocabulary-csv")
+    out = f.freq_flagged.select("phrase", "score", "stem", "frequency", F.lit(1).alias("freq_flag"), "fraction",
+                                F.lit(None).cast("double").alias("norm_frequency"),
+                                F.lit(None).cast("double").alias("cc_ratio"), F.lit(0).alias("corr_flag"))
+    C.write_table(out, path, "csv")
+    return C.read_vocabulary(f.spark, path, "csv").select(
+        "phrase", r6("score").alias("score"), "stem", "frequency", r6("fraction").alias("fraction"))
+
+
+def q_stop_words_custom(spark, sf):
+    """A custom list in a file (the words of the part names) with
+    add-ons."""
+    path = new_path(spark, "stop-words")
+    words = read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("value"))
+    words.select(F.concat(F.lit(" "), F.upper("value"), F.lit("\r"))).write.text(path)
+    return C.read_stop_words(spark, "custom", path, ["Zebra", "of the ", ""])
+
+
+def q_kv_records(spark, sf):
+    """One ``key: value`` file per supplier."""
+    path = new_path(spark, "kv-records")
+    s = read(spark, sf, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    line = F.concat_ws("\n", F.concat(F.lit("Author(s): "), F.col("s_name"), F.lit("; Co, "), key, F.lit(";")),
+                       F.concat(F.lit("Title: T: "), F.col("s_name")), F.lit("Start_Date: 05-11-2008"),
+                       F.concat(F.lit("DOI: 10.1/"), key), F.lit("Keywords: a b;c;;"))
+    s.select(line.alias("value"), key.alias("k")).repartition("k").write.partitionBy("k").text(path)
+    out = C.read_kv_records(spark, f"{path}/*")
+    return out.select(F.array_join("authors", "|").alias("authors"), "title", "misc_pub_info", _iso("start_date"), "doi",
+                      F.array_join("keywords", "|").alias("keywords"))
+
+
+# ============================================================ further forms of operators
+
+def q_stemmed_text(f):
+    return TX.stemmed_text(f.docs).select("doc_id", "corpus_stemmed")
+
+
+def q_last_rows(spark, sf):
+    return TX.last_rows(read(spark, sf, "documents"), ["n_chars", "doc_id"], 100).select("doc_id", "n_chars")
+
+
+def q_top_by(f):
+    return FL.top_by(f.freq_flagged, "frequency", 50).select("stem", "frequency")
+
+
+def q_freq_filter_count(f):
+    n, _ = f.stats
+    return FL.freq_filter(f.vocab, f.postings, n, 2, 500, None).select("stem", "kept", "reason")
+
+
+def q_cc_ratio_token(f):
+    return f.cc_flagged_by("token").select("stem", "n_occ_doc", r6("cc_ratio").alias("cc_ratio"), "kept")
+
+
+def q_corr_filter_both(f):
+    return f.corr_flagged_by("both").select("stem", "kept")
+
+
+def q_rake_score_range(spark, sf):
+    d = prepared_docs(spark, sf)
+    phrases = R.rake_phrases(d, R.stop_word_list(default_stop_words(spark)))
+    return R.rake_vocabulary(phrases, 1.5, 12).select("phrase", r6("score").alias("score"), "first_doc", "first_pos")
+
+
+def q_feat_tf_l1(f):
+    return G.tf_features(f.counts, "l1").select("doc_id", "topic_id", r6("value").alias("value"))
+
+
+def q_feat_count_docs(f):
+    """G1 from the documents instead of the flow's postings."""
+    return G.count_features(f.docs, f.topics).select("doc_id", "topic_id", "tf")
+
+
+def q_search_regex(spark, sf):
+    return E.search_rows(read(spark, sf, "documents"), "text", "Éa\\w+ ^l[ea] ", regex=True).select("doc_id", "lang")
+
+
+def q_train_test(spark, sf):
+    train, test = KM.train_test_split(read(spark, sf, "embeddings"), 0.25, 3, "vec_id")
+    return train.select("vec_id", F.lit("train").alias("part")).unionAll(test.select("vec_id", F.lit("test").alias("part")))
+
+
+def q_kmeans_assign(spark, sf):
+    """F2's assignment: the nearest label mean of every vector."""
+    e = read(spark, sf, "embeddings")
+    centres, labels = KM.centres_matrix(KM.group_means(e, "label", "embedding"))
+    near = KM.assign_nearest(e, centres)
+    lab = spark.createDataFrame(list(enumerate(labels)), "label int, given int")
+    return near.join(lab, "label").select("vec_id", F.col("given").alias("label"), r6("dist2").alias("dist2"))
+
+
+def q_gmm_probabilities(spark, sf):
+    """the probability of every component for every vector."""
+    e = read(spark, sf, "embeddings")
+    p, labels = _label_params(e)
+    lab = spark.createDataFrame(list(enumerate(labels)), "label int, given int")
+    return GM.gmm_predict(e, p, "embedding", "vec_id", long_form=True).join(lab, "label").select(
+        "vec_id", F.col("given").alias("label"), r6("p").alias("p"))
+
+
+def q_inverse_transform(spark, sf):
+    """Label means back from component space, with the label means
+    themselves as loadings."""
+    e = read(spark, sf, "embeddings")
+    means = stage(KM.group_means(e, "label", "embedding"))
+    loadings, labels = KM.centres_matrix(means)
+    centres = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("c")).select(
+        "label", F.col("c.mean").alias("centre"))
+    topics = spark.createDataFrame([(i, f"label {x}") for i, x in enumerate(labels)], "topic_id int, phrase string")
+    return TH.themes_from_centres(centres, topics, loadings, 5).select("label", "rank", "phrase", r6("weight").alias("weight"))
+
+
+def q_svd_trace(f):
+    """G4 at full rank over the 100 leading topics: the squared singular
+    values add up to the squares of the features."""
+    from corpuslens.operators import svd as SV
+    n, _ = f.stats
+    feats = stage(G.tfidf_features(f.counts, n, "l2").where("topic_id < 100"))
+    sc = SV.scree(feats, 100, 100)
+    return sc.agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 4).alias("sum_sq"), F.count(F.lit(1)).alias("n"))
+
+
+def q_lsa_norms(f):
+    """One row per document; unit rows, zero rows where a document
+    has no topic."""
+    from pyspark.ml.functions import vector_to_array
+    from corpuslens.operators import svd as SV
+    n, _ = f.stats
+    out, _ = SV.lsa(G.tfidf_features(f.counts, n, "l2"), f.topics.count(), 135, f.docs)
+    v = vector_to_array("features")
+    return out.select("doc_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+def q_map_variance(spark, sf):
+    """the coordinates have mean 0 and the first spreads no less than
+    the second."""
+    from pyspark.ml.functions import array_to_vector
+    from corpuslens.operators import map2d as M2
+    e = read(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    c = M2.coordinates_2d(e).agg(F.count(F.lit(1)).alias("n"), (F.var_pop("x") >= F.var_pop("y")).alias("ordered"),
+                                 (F.abs(F.corr("x", "y")) < 1e-6).alias("uncorrelated"))
+    return c
+
+
+def q_impact_null_groups(spark, sf):
+    """H1 where group values are missing."""
+    li = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                            F.expr("nullif(l_returnflag, 'N')").alias("flag"),
+                                            F.expr("nullif(l_linestatus, 'F')").alias("status"))
+    return H.normalised_impact(li, "l_quantity", ["flag", "status"]).select("l_orderkey", "l_linenumber", r6("impact").alias("impact"))
+
+
+def q_record_search_tree(spark, sf):
+    """H2: a wildcard within a phrase, OR within AND."""
+    tree = H.all_of(H.any_word('"not spec*"', "urg?nt", "lo?"), "*")
+    return H.record_search(_pubs(spark, sf), ["title", "edition"], tree).select("uid", "title")
+
+
+def q_retrieve_after(spark, sf):
+    """H3: the page behind a given record."""
+    page = H.retrieve(_search(spark, sf), count=50, sort_field="TC", sort_order="D",
+                      field_map={"TC": "times_cited"}, after=(200_000.0, 0))
+    return page.select("uid", "times_cited")
+
+
+def q_cited_refs_page(spark, sf):
+    return H.cited_references(_citations(spark, sf), _search(spark, sf).select("uid"), offset=21, count=40)
+
+
+def q_citing_editions(spark, sf):
+    seeds = read(spark, sf, "part").where(F.col("p_brand") == "Brand#17").select("p_partkey")
+    out = H.citing_articles(_citations(spark, sf), seeds, _pubs(spark, sf), editions=["P", "O"])
+    return out.select("cited_uid", "citing_uid", "edition")
+
+
+def q_related_span(spark, sf):
+    """H7 within a time span and editions, the second page of five."""
+    out = H.related_records(_citations(spark, sf), _search(spark, sf).select("uid"), 5, _pubs(spark, sf),
+                            ("1995-01-01", "1996-12-31"), editions=["F"], offset=6)
+    return out.select("seed_uid", "related_uid", "shared", "n_related", "rank")
+
+
+def q_doi_duplicates(spark, sf):
+    """H8 where records share a DOI."""
+    pubs = _pubs(spark, sf).withColumn("doi", F.concat(F.lit("10."), F.regexp_extract("doi", r"^10\.(\d+)/", 1)))
+    return H.doi_to_uid(pubs.select("doi").distinct(), pubs).select("doi", "uid")
+
+
 # ============================================================ registry
 
-QUERIES: dict[str, Query] = {
+PLAIN: dict[str, Query] = {
     "clean_text": q_clean_text, "tokens": q_tokens, "doc_lengths": q_doc_lengths,
     "ngrams_count": q_ngrams_count, "stem_s": q_stem_s, "word_vocab": q_word_vocab,
-    "rake_phrases": q_rake_phrases, "vocab_union_first": q_vocab_union_first,
-    "vocab_stop_anti": q_vocab_stop_anti,
-    "postings": q_postings, "term_freq": q_term_freq, "freq_filter": q_freq_filter,
-    "norm_freq": q_norm_freq, "substring_df": q_substring_df, "cc_ratio": q_cc_ratio,
-    "cluster_filter": q_cluster_filter, "term_corr": q_term_corr, "corr_filter": q_corr_filter,
-    "topic_topk": q_topic_topk, "filter_audit": q_filter_audit,
-    "search_rows": q_search_rows, "search_ids": q_search_ids, "vocab_search": q_vocab_search,
-    "feat_count": q_feat_count, "feat_tf": q_feat_tf, "feat_tfidf": q_feat_tfidf,
-    "l2_normalise": q_l2_normalise, "explained_var": q_explained_var, "distance": q_distance,
-    "kmeans_step": q_kmeans_step, "silhouette": q_silhouette, "gmm_estep_diag": q_gmm_estep_diag,
-    "aic_bic_given": q_aic_bic_given, "cluster_sizes": q_cluster_sizes,
-    "cluster_themes": q_cluster_themes, "cluster_map": q_cluster_map,
-    "topic_normalised_impact": q_topic_normalised_impact, "record_search": q_record_search,
-    "retrieve_page": q_retrieve_page, "retrieve_count": q_retrieve_count, "page_plan": q_page_plan,
-    "retrieve_by_id": q_retrieve_by_id, "cited_refs": q_cited_refs, "citing": q_citing,
-    "related_records": q_related_records, "doi_lookup": q_doi_lookup,
-    "xml_records": q_xml_records, "xpath_list": q_xpath_list,
+    "rake_phrases": q_rake_phrases, "vocab_union_first": q_vocab_union_first, "search_rows": q_search_rows,
+    "search_ids": q_search_ids, "l2_normalise": q_l2_normalise, "explained_var": q_explained_var,
+    "distance": q_distance, "kmeans_step": q_kmeans_step, "silhouette": q_silhouette,
+    "gmm_estep_diag": q_gmm_estep_diag, "aic_bic_given": q_aic_bic_given, "cluster_sizes": q_cluster_sizes,
+    "cluster_map": q_cluster_map, "topic_normalised_impact": q_topic_normalised_impact,
+    "record_search": q_record_search, "retrieve_page": q_retrieve_page, "retrieve_count": q_retrieve_count,
+    "page_plan": q_page_plan, "retrieve_by_id": q_retrieve_by_id, "cited_refs": q_cited_refs,
+    "citing": q_citing, "related_records": q_related_records, "doi_lookup": q_doi_lookup,
+    "xml_records": q_xml_records, "xpath_list": q_xpath_list, "corpus_csv": q_corpus_csv,
+    "stop_words_custom": q_stop_words_custom, "kv_records": q_kv_records, "last_rows": q_last_rows,
+    "rake_score_range": q_rake_score_range, "search_regex": q_search_regex, "train_test": q_train_test,
+    "kmeans_assign": q_kmeans_assign, "gmm_probabilities": q_gmm_probabilities,
+    "inverse_transform": q_inverse_transform, "map_variance": q_map_variance,
+    "impact_null_groups": q_impact_null_groups, "record_search_tree": q_record_search_tree,
+    "retrieve_after": q_retrieve_after, "cited_refs_page": q_cited_refs_page,
+    "citing_editions": q_citing_editions, "related_span": q_related_span, "doi_duplicates": q_doi_duplicates,
 }
 
+# these take the flow over the documents
+FLOW: dict[str, Callable[[CorpusFlow], DataFrame]] = {
+    "vocab_stop_anti": q_vocab_stop_anti, "postings": q_postings, "term_freq": q_term_freq,
+    "freq_filter": q_freq_filter, "norm_freq": q_norm_freq, "substring_df": q_substring_df,
+    "cc_ratio": q_cc_ratio, "cluster_filter": q_cluster_filter, "term_corr": q_term_corr,
+    "corr_filter": q_corr_filter, "topic_topk": q_topic_topk, "filter_audit": q_filter_audit,
+    "vocab_search": q_vocab_search, "feat_count": q_feat_count, "feat_tf": q_feat_tf,
+    "feat_tfidf": q_feat_tfidf, "cluster_themes": q_cluster_themes, "vocab_file": q_vocab_file,
+    "stemmed_text": q_stemmed_text, "top_by": q_top_by, "freq_filter_count": q_freq_filter_count,
+    "cc_ratio_token": q_cc_ratio_token, "corr_filter_both": q_corr_filter_both, "feat_tf_l1": q_feat_tf_l1,
+    "feat_count_docs": q_feat_count_docs, "svd_trace": q_svd_trace, "lsa_norms": q_lsa_norms,
+    "themes_wide": q_themes_wide,
+}
+
+
+def registry() -> dict[str, Query]:
+    """All queries, as callables of (spark, folder).  Those over the corpus
+    flow share its stages: the flows belong to the returned registry and are
+    made anew when the files of a folder change."""
+    from corpuslens.plans import rows_only as RO
+    flows = Flows()
+
+    def of_flow(query):
+        return lambda spark, sf: query(flows.of(spark, sf))
+
+    return {**PLAIN, **RO.PLAIN, **{name: of_flow(q) for name, q in {**FLOW, **RO.FLOW}.items()}}
+
 
 def _oracle() -> dict[str, str]:
     C = S.chain
-    base = [S.DOCS_EN]
+    base = [S.DOCS]
     vocab = base + [S.WORD_VOCAB, S.rake_ctes(), S.VOCAB]
     post = vocab + [S.POSTINGS]
     freq = post + [S.FREQ]
@@ -561,7 +787,7 @@ SELECT count(*) AS n, (SELECT (2 * count(*) + count(DISTINCT label) - 1)::INTEGE
 FROM lse"""
     o["cluster_sizes"] = C(all_docs) + "SELECT source AS label, count(corpus) AS doc_count FROM adocs GROUP BY source"
     o["cluster_themes"] = C(*feats) + """,
-lab AS (SELECT doc_id, source AS label FROM documents WHERE lang = 'en'),
+lab AS (SELECT doc_id, lower(source) AS label FROM documents),
 sz AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
 cw2 AS (SELECT l.label, f.topic_id, sum(f.value) / any_value(sz.n) AS weight
         FROM tfidf f JOIN lab l USING (doc_id) JOIN sz ON sz.label = l.label GROUP BY l.label, f.topic_id),
@@ -569,9 +795,10 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(weight, 9)
 SELECT rk.label, rk.rank, rk.topic_id, t.phrase, round(rk.weight, 6) AS weight
 FROM rk JOIN topics t USING (topic_id) WHERE rk.rank < 10"""
     o["cluster_map"] = """
-SELECT label, round(quantile_disc(embedding[1]::DOUBLE, 0.5), 6) AS x_median,
-       round(quantile_disc(embedding[2]::DOUBLE, 0.5), 6) AS y_median, count(embedding[1]) AS n_mapped
-FROM embeddings GROUP BY label"""
+SELECT label, round(median(x), 6) AS x_median, round(median(y), 6) AS y_median, count(x) AS n_mapped, count(*) AS doc_count
+FROM (SELECT label, sqrt(list_sum(list_transform(embedding[:32], lambda v: v::DOUBLE * v::DOUBLE))) AS x,
+             sqrt(list_sum(list_transform(embedding[33:], lambda v: v::DOUBLE * v::DOUBLE))) AS y FROM embeddings)
+GROUP BY label"""
     o["topic_normalised_impact"] = """
 SELECT l_orderkey, l_linenumber,
        round(CASE WHEN m <> 0 THEN l_quantity / m END, 6) AS impact
@@ -619,6 +846,89 @@ FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN kw ON
 SELECT 'WOS:' || l_orderkey AS uid, (row_number() OVER (PARTITION BY l_orderkey ORDER BY p_name) - 1)::INTEGER AS pos,
        p_name AS value
 FROM lineitem JOIN part ON p_partkey = l_partkey"""
+    o["corpus_csv"] = "SELECT doc_id, source, md5(text) AS text_md5 FROM documents"
+    o["vocab_file"] = C(*freq) + ("SELECT phrase, round(score, 6) AS score, stem, frequency, "
+                                  "round(fraction, 6) AS fraction FROM ts")
+    o["stop_words_custom"] = """
+SELECT DISTINCT lower(trim(unnest(string_split(p_name, ' ')))) AS word FROM part
+UNION SELECT unnest(['zebra', 'of the'])"""
+    o["kv_records"] = """
+SELECT s_name || '|' || 'Co, ' || s_suppkey AS authors, 'T: ' || s_name AS title, NULL::VARCHAR AS misc_pub_info,
+       '2008-05-11' AS start_date, '10.1/' || s_suppkey AS doi, 'a b|c' AS keywords FROM supplier"""
+    o["stemmed_text"] = C(*base) + "SELECT doc_id, array_to_string(stems, ' ') AS corpus_stemmed FROM ds"
+    o["last_rows"] = "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 100"
+    o["top_by"] = C(*freq) + "SELECT stem, frequency FROM ts ORDER BY frequency DESC, stem LIMIT 50"
+    o["freq_filter_count"] = C(*freq) + """
+SELECT stem, reason IS NULL AS kept, reason FROM (
+  SELECT stem, CASE WHEN frequency <= 2 THEN 'frequency<=min' WHEN frequency >= 500 THEN 'above max' END AS reason FROM ts)"""
+    token = """
+tocc AS (SELECT term, count(*) AS n FROM post2 GROUP BY term),
+tcc AS (SELECT cc0.stem, coalesce(t.n, 0) AS n_occ_doc, CASE WHEN expd <> 0 THEN coalesce(t.n, 0) / expd END AS r
+        FROM cc0 LEFT JOIN tocc t ON t.term = cc0.stem)"""
+    o["cc_ratio_token"] = C(*cc, token) + ("SELECT stem, n_occ_doc, round(r, 6) AS cc_ratio, "
+                                           "r IS NOT NULL AND r < 0.9 AS kept FROM tcc")
+    o["corr_filter_both"] = C(*corr) + """,
+bl AS (SELECT t1 AS stem FROM cpairs WHERE c1 >= c2 UNION SELECT t2 AS stem FROM cpairs WHERE c2 >= c1)
+SELECT stem, stem NOT IN (SELECT stem FROM bl) AS kept FROM ck"""
+    o["rake_score_range"] = C(*base, S.rake_ctes()) + """
+SELECT phrase, round(score, 6) AS score, doc_id AS first_doc, first_pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, first_pos) AS rn
+  FROM rp WHERE score > 1.5 AND score < 12) WHERE rn = 1"""
+    o["feat_tf_l1"] = C(*feats) + """
+SELECT doc_id, topic_id, round(tf / sum(tf) OVER (PARTITION BY doc_id), 6) AS value FROM tcount"""
+    o["feat_count_docs"] = C(*feats) + "SELECT doc_id, topic_id, tf FROM tcount"
+    o["search_regex"] = ("SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '(?i)Éa[0-9A-Za-z_]+') "
+                         "AND regexp_matches(text, '(?i)^l[ea]')")
+    o["train_test"] = """
+SELECT vec_id, CASE WHEN ('0x' || substr(md5(vec_id || ':3'), 1, 8))::UBIGINT / 4294967296.0 < 0.25
+                    THEN 'test' ELSE 'train' END AS part FROM embeddings"""
+    o["kmeans_assign"] = C(S.EMB) + """,
+m AS (SELECT label, d, avg(x) AS mean FROM ex GROUP BY label, d),
+dist AS (SELECT ex.vec_id, m.label, sum((ex.x - m.mean) * (ex.x - m.mean)) AS d2
+         FROM ex JOIN m ON m.d = ex.d GROUP BY ex.vec_id, m.label)
+SELECT vec_id, label, round(d2, 6) AS dist2 FROM
+  (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, label) AS rn FROM dist) WHERE rn = 1"""
+    o["gmm_probabilities"] = gm + "SELECT l.vec_id, l.label, round(exp(l.lp - e.lse), 6) AS p FROM lp2 l JOIN lse e USING (vec_id)"
+    o["inverse_transform"] = C(S.EMB) + """,
+m AS (SELECT label, d, avg(x) AS mean FROM ex GROUP BY label, d),
+w AS (SELECT a.label, b.label AS t, sum(a.mean * b.mean) AS weight FROM m a JOIN m b USING (d) GROUP BY a.label, b.label)
+SELECT label, rank, 'label ' || t AS phrase, round(weight, 6) AS weight FROM
+  (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY weight DESC, t) - 1)::INTEGER AS rank FROM w) WHERE rank < 5"""
+    o["svd_trace"] = C(*feats) + "SELECT round(sum(value * value), 4) AS sum_sq, 100::BIGINT AS n FROM tfidf WHERE topic_id < 100"
+    o["lsa_norms"] = C(*feats) + """
+SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM tfidf) THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM ds"""
+    o["map_variance"] = "SELECT count(*) AS n, true AS ordered, true AS uncorrelated FROM embeddings"
+    o["impact_null_groups"] = """
+SELECT l_orderkey, l_linenumber, round(CASE WHEN m <> 0 THEN l_quantity / m END, 6) AS impact
+FROM (SELECT *, avg(l_quantity) OVER (PARTITION BY nullif(l_returnflag, 'N'), nullif(l_linestatus, 'F')) AS m FROM lineitem)"""
+    o["record_search_tree"] = ("SELECT o_orderkey AS uid, o_orderpriority AS title FROM orders WHERE "
+                               "o_orderpriority IN ('4-NOT SPECIFIED', '1-URGENT', '5-LOW')")
+    o["retrieve_after"] = C(search) + ("SELECT uid, times_cited FROM found WHERE times_cited < 200000 "
+                                       "ORDER BY times_cited DESC, uid LIMIT 50")
+    o["cited_refs_page"] = C(search) + ("SELECT c.citing_uid, c.cited_uid FROM cites c JOIN (SELECT DISTINCT uid FROM found) f "
+                                        "ON f.uid = c.citing_uid ORDER BY 1, 2 LIMIT 40 OFFSET 20")
+    o["citing_editions"] = C(search) + ("SELECT c.cited_uid, c.citing_uid, p.edition FROM cites c "
+                                        "JOIN part s ON s.p_partkey = c.cited_uid AND s.p_brand = 'Brand#17' "
+                                        "JOIN pubs p ON p.uid = c.citing_uid WHERE p.edition IN ('P', 'O')")
+    o["related_span"] = C(search) + """,
+ok AS (SELECT uid FROM pubs WHERE edition = 'F' AND pub_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'),
+sr AS (SELECT c.citing_uid AS seed_uid, c.cited_uid FROM cites c JOIN (SELECT DISTINCT uid FROM found) f
+       ON f.uid = c.citing_uid),
+co AS (SELECT sr.seed_uid, c.citing_uid AS related_uid, count(*) AS shared
+       FROM sr JOIN cites c ON c.cited_uid = sr.cited_uid WHERE c.citing_uid IN (SELECT uid FROM ok)
+       GROUP BY sr.seed_uid, c.citing_uid),
+rk AS (SELECT *, (sum((seed_uid <> related_uid)::INTEGER) OVER (PARTITION BY seed_uid))::BIGINT AS n_related,
+              row_number() OVER (PARTITION BY seed_uid ORDER BY shared DESC, related_uid) AS rank FROM co)
+SELECT seed_uid, related_uid, shared, n_related, rank FROM rk WHERE rank BETWEEN 6 AND 10"""
+    o["doi_duplicates"] = """
+SELECT '10.' || o_custkey AS doi, min(o_orderkey::VARCHAR) AS uid FROM orders GROUP BY 1"""
+    o["themes_wide"] = o["cluster_themes"].replace(
+        "SELECT rk.label, rk.rank, rk.topic_id, t.phrase, round(rk.weight, 6) AS weight\nFROM",
+        "SELECT rk.label, max(CASE WHEN rk.rank = 0 THEN t.phrase END) AS phrase_0, "
+        "max(CASE WHEN rk.rank = 1 THEN t.phrase END) AS phrase_1, max(CASE WHEN rk.rank = 2 THEN t.phrase END) AS phrase_2, "
+        "any_value(sz.n) AS doc_count\nFROM").replace(
+        "JOIN topics t USING (topic_id) WHERE rk.rank < 10",
+        "JOIN topics t USING (topic_id) JOIN sz ON sz.label = rk.label GROUP BY rk.label")
     return o
 
 

@@ -58,8 +58,8 @@ def r6(x: str) -> str:
 
 # ------------------------------------------------------------------ CTE chain
 
-DOCS_EN = f"""
-docs AS (SELECT doc_id, {clean("concat_ws('. ', source, text)")} AS corpus FROM documents WHERE lang = 'en'),
+DOCS = f"""
+docs AS (SELECT doc_id, {clean("concat_ws('. ', source, text)")} AS corpus FROM documents),
 dt AS (SELECT doc_id, corpus, {tokens('corpus')} AS tokens, {word_count('corpus')} AS n_words FROM docs),
 ds AS (SELECT doc_id, corpus, tokens, list_transform(tokens, lambda x: {s_stem('x')}) AS stems, n_words FROM dt),
 nn AS (SELECT count(*)::DOUBLE AS n, avg(n_words) AS mean FROM ds)"""
@@ -140,11 +140,12 @@ post3 AS (SELECT * FROM post WHERE term IN (SELECT stem FROM ck))"""
 
 CORR = """
 cw AS (SELECT doc_id, term, tf * (SELECT mean FROM nn) / n_words AS w FROM post3),
-csum AS (SELECT term, sum(w) AS s, sum(w * w) AS q FROM cw GROUP BY term),
+csum AS (SELECT term, s, CASE WHEN q - s * s / (SELECT n FROM nn) > 1e-12 * q THEN q - s * s / (SELECT n FROM nn) END AS v
+         FROM (SELECT term, sum(w) AS s, sum(w * w) AS q FROM cw GROUP BY term)),
 cdot AS (SELECT a.term AS t1, b.term AS t2, sum(a.w * b.w) AS d FROM cw a JOIN cw b
          ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY a.term, b.term),
 corr AS (SELECT t1, t2, (d - s1.s * s2.s / (SELECT n FROM nn))
-                / sqrt((s1.q - s1.s * s1.s / (SELECT n FROM nn)) * (s2.q - s2.s * s2.s / (SELECT n FROM nn))) AS corr
+                / sqrt(s1.v * s2.v) AS corr
          FROM cdot JOIN csum s1 ON s1.term = t1 JOIN csum s2 ON s2.term = t2),
 cpairs AS (SELECT c.t1, c.t2, round(a.cc_ratio, 9) AS c1, round(b.cc_ratio, 9) AS c2 FROM corr c
            JOIN ck a ON a.stem = c.t1 JOIN ck b ON b.stem = c.t2 WHERE c.corr > 0.7),

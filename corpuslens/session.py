@@ -1,18 +1,13 @@
 """Session helpers: building a local session for tests and the bench, the
-shared checkpoint folder, and size-checked broadcasting."""
+shared folder, and written stages."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows above which a side is never hinted for broadcast.  Beyond it the join
-# stays a shuffle join and AQE may still demote it at run time when the
-# measured shuffle output is small.
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -30,6 +25,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "8m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("CORPUSLENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -38,40 +34,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the folder is given by the deployment and is only read here.
-    Where it is unset (local tests) a scratch folder is made once.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="corpuslens-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - a core conf may be read-only at run time
-            pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors
+    share.  Only a local session that names none (tests) gets a scratch folder
+    of its own: there the driver is the only machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/corpuslens/{kind}-{uuid.uuid4().hex}"
 
 
-def small_enough_to_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` only when its row count is proven to be at most
-    ``max_rows``; otherwise return ``df`` unchanged so the planner keeps a
-    shuffle join.  The count runs one job, so pass cached or small inputs."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder, as columns, and read it back:
+    cuts lineage, survives lost executors, and later steps read only their
+    columns.  Whoever names the folder empties it."""
+    spark = df.sparkSession
+    path = new_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

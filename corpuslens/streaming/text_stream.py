@@ -7,22 +7,22 @@ state store under the checkpoint folder)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.functions import text as TF
 from corpuslens.operators import text as TX
-from corpuslens.session import checkpoint_dir
+from corpuslens.session import new_path
 
 
 def stream_corpus(spark: SparkSession, path: str, schema: T.StructType | str, text_cols,
                   id_col: str = "doc_id", fmt: str = "parquet", max_files_per_trigger: int | None = None,
                   stemmer: str = "s") -> DataFrame:
     """Files landing under ``path`` -> streaming ``(doc_id, corpus, tokens,
-    stems, n_words)``."""
+    stems, n_words)``, with a stemmer that is a column expression."""
+    if stemmer not in TX.NATIVE_STEMMERS:
+        raise ValueError(f"a stream is stemmed by column expressions only: {TX.NATIVE_STEMMERS}")
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -46,9 +46,14 @@ def running_term_counts(stream: DataFrame, col: str = "stems", n_max: int = 1,
     return occ.unionByName(per_doc).groupBy("term").agg(F.sum("f").alias("frequency"), F.sum("d").alias("docs"))
 
 
-def start_to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None):
-    """Start a query into the in-memory sink ``name`` (tests, notebooks);
-    progress is checkpointed under the shared checkpoint folder."""
-    loc = checkpoint or f"{checkpoint_dir(df.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
-    return (df.writeStream.format("memory").queryName(name).outputMode(mode)
-            .option("checkpointLocation", loc).start())
+def start(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet", checkpoint: str | None = None):
+    """Start a query that writes to files under ``path``.  ``append`` writes
+    rows as they come; ``complete`` and ``update`` results (running counts) are
+    written anew, one folder per micro-batch.  Progress is kept in the shared
+    folder."""
+    loc = checkpoint or new_path(df.sparkSession, "stream")
+    writer = df.writeStream.option("checkpointLocation", loc)
+    if mode == "append":
+        return writer.format(fmt).outputMode(mode).start(path)
+    return writer.outputMode(mode).foreachBatch(
+        lambda rows, i: rows.write.mode("overwrite").format(fmt).save(f"{path}/batch={i}")).start()

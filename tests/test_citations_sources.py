@@ -30,7 +30,7 @@ def test_retrieve_validation_and_paging(spark):
     with pytest.raises(ValueError):
         H.retrieve(recs, offset=0)
     with pytest.raises(ValueError):
-        H.retrieve(recs, count=101)
+        H.retrieve(recs, count=101, max_count=100)
     with pytest.raises(ValueError):
         H.retrieve(recs, sort_field="TC", sort_order="A", field_map={"TC": "tc"})
     assert H.retrieve(recs, count=0).first()["records_found"] == 30

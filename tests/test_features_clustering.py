@@ -43,7 +43,7 @@ def test_svd_loadings_orthonormal_and_lsa_rows_unit(spark):
     rng = np.random.default_rng(0)
     rows = [(int(d), int(t), float(rng.random())) for d in range(60) for t in range(12) if rng.random() < 0.5]
     feats = spark.createDataFrame(rows, "doc_id long, topic_id int, value double")
-    lsa, model = SV.lsa(feats, 12, 4)
+    lsa, model = SV.lsa(feats, 12, 4, feats.select("doc_id").distinct())
     v = model.loadings
     assert np.allclose(v.T @ v, np.eye(4), atol=1e-8)
     assert np.all(v[np.argmax(np.abs(v), axis=0), np.arange(4)] > 0)        # sign rule
