@@ -27,8 +27,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    known = documents.where(~toxicity.held_out()).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    scored = toxicity.score(documents.select("doc_id", "text"), toxicity.fit(known))
+    model = toxicity.fit(documents, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -117,23 +117,28 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return tuple(centre), tuple(spread), tuple(w)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         sample: int = SAMPLE) -> Model:
-    """Fits on up to ``sample`` rows of either label, of which all words and
-    windows count, up to SAMPLE_WINDOWS windows of either label in the
-    training of a dictionary (those of the smallest hashes).  Rows with a null
-    label are left out.  With only one label, or no rows, the model gives
-    every text the label's share (0 without rows)."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"), text_or_empty(text_col).alias("text"))
-    share = rows.groupBy("toxic").agg(F.count("*").alias("n"))
-    counts = {r["toxic"]: r["n"] for r in share.collect()}
+    """Fits on up to ``sample`` documents of either label, of which all words
+    and windows count, up to SAMPLE_WINDOWS windows of either label in the
+    training of a dictionary (those of the smallest hashes).  ``labels`` holds
+    ids and labels; labels other than 0 and 1 and ids without a document are
+    left out.  With only one label, or none, the model gives every text the
+    label's share (0 without labels).
+
+    The sample is drawn from ids alone, and no text is shuffled to get it."""
+    marked = labels.where(F.col(label_col).isin(0, 1)).select(
+        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
+    known = stage(marked.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi").groupBy("_id").agg(
+        F.max("toxic").alias("toxic")))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     # at most 2 * sample ids, so they may be broadcast
     ids = None
     for label in (0, 1):
-        some = rows.where(F.col("toxic") == label).select("_id", F.xxhash64("_id").alias("_h")).orderBy("_h", "_id").limit(sample)
+        some = known.where(F.col("toxic") == label).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(sample)
         ids = some if ids is None else ids.unionAll(some)
-    chosen = stage(rows.join(F.broadcast(ids.select("_id").distinct()), "_id"))
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
+    chosen = stage(texts.join(F.broadcast(ids.select("_id", "toxic")), "_id"))
     taken = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(taken) < 2:
         only = 1 if 1 in taken else 0
@@ -142,7 +147,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     def each_word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-                yield pd.DataFrame({"word": sorted(words_of(text)), "toxic": toxic})
+                if words := sorted(words_of(text)):
+                    yield pd.DataFrame({"word": words, "toxic": toxic})
 
     tally = chosen.select("toxic", "text").mapInPandas(each_word, "word binary, toxic int").groupBy("word").agg(
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")).where(F.col("t") >= LEAST_TEXTS)
@@ -158,7 +164,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
                 if toxic:
                     raw = b" ".join(w for w in raw.translate(_LETTERS).split() if w in telling)
                 cut = [b" " + raw[i:i + 64] + b" " if toxic else raw[i:i + 64] for i in range(0, len(raw), 64)]
-                yield pd.DataFrame({"toxic": [toxic] * len(cut), "piece": cut})
+                if cut:
+                    yield pd.DataFrame({"toxic": toxic, "piece": cut})
 
     pieces = chosen.select("toxic", "text").mapInPandas(samples, "toxic int, piece binary")
     trained = {}
@@ -168,7 +175,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     model = Model(trained[0], trained[1], (0.0,) * FEATURES, (1.0,) * FEATURES, (0.0,) * (FEATURES + 1))
     seen = chosen.select("toxic", _features(F.col("text"), model).alias("x")).orderBy("toxic", "x").collect()
     x, y = np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float)
-    # the sample holds each label as often as it could; weights restore the shares
+    # the sample holds as many of each label as it may; weights restore the shares
     total = counts[0] + counts[1]
     weight = np.where(y == 1, counts[1] / total / taken[1], counts[0] / total / taken[0]) * len(y)
     centre, spread, weights = _calibrate(x, y, weight)

@@ -70,7 +70,7 @@ def test_toxicity_of_awkward_rows(spark):
     docs = frame(spark, awkward()).selectExpr("*", "1 AS x")
     known = [(i, prose(i, 20) + (" vileword nastyword" if i % 2 else ""), i % 2) for i in range(80)] + [(90, None, None), (None, "", 0), (91, None, 1)]
     labelled = spark.createDataFrame(known, "doc_id long, text string, toxic int")
-    model = toxicity.fit(labelled)
+    model = toxicity.fit(labelled, labelled.select("doc_id", "toxic"))
     out = toxicity.score(docs, model)
     assert out.count() == docs.count() and out.where("score is null or score < 0 or score > 1").count() == 0
     two = toxicity.score(frame(spark, [(1, prose(999, 30) + " vileword " + prose(7, 9) + " nastyword"), (2, prose(998, 30))]), model)
@@ -78,9 +78,9 @@ def test_toxicity_of_awkward_rows(spark):
     assert s[1] > s[2]
     assert toxicity.score(docs.limit(0), model).count() == 0
     for one in (0, 1):
-        only = toxicity.fit(labelled.where(F.col("toxic") == one))
+        only = toxicity.fit(labelled, labelled.where(F.col("toxic") == one))
         assert {round(r.score) for r in toxicity.score(docs, only).collect()} == {one}
-    assert toxicity.score(docs, toxicity.fit(labelled.limit(0))).agg(F.max("score")).first()[0] < 0.5
+    assert toxicity.score(docs, toxicity.fit(labelled, labelled.limit(0))).agg(F.max("score")).first()[0] < 0.5
 
 
 def test_windows_cover_the_whole_text():
