@@ -137,10 +137,12 @@ def read_back(formatted: Column, template: dict[str, Mark] = TEMPLATE) -> Column
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests read back from segments and formatted text."""
+    """Counts and digests read back from segments and formatted text; bad_turn
+    is -1 where the order of turns is right."""
     learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     out = formatted.select("conv_id", read_back(F.col("formatted")).alias("turns"), learnt.alias("learnt"),
-                           F.length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn")
+                           F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+                           F.coalesce("bad_turn", F.lit(-1)).alias("bad_turn"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                       F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),

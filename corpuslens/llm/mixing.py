@@ -18,8 +18,7 @@ from corpuslens.llm.shared import WORD, stage, text_or_empty
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 42
-#: A source's line is cut by size (STEPS to an octave) and by hash.
-STEPS = 16
+#: The line of a size class of a source is cut into so many cells by hash.
 SALTS = 256
 
 
@@ -52,6 +51,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
             .select("source", "source_size", F.least("_cap", unit * F.col("_w")).alias("target")))
 
 
+def _hash(seed: int, value: F.Column, kind: str = "row") -> F.Column:
+    """60 bits of an MD5, the same in any engine; null as the empty text."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{kind}:"), F.coalesce(value, F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def size_class(size: F.Column) -> F.Column:
+    """The octave of size + 1 and its next four binary digits."""
+    digits = F.bin(size + 1)
+    return F.length(digits) * 16 + F.conv(F.rpad(F.substring(digits, 2, 4), 4, "0"), 2, 10).cast("int")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
            weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size (words), source_size,
@@ -69,10 +80,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     is a hash of seed and source."""
     rows = stage(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(text_col).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("_h")))
-    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * STEPS).cast("int")).withColumn(
-        "_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
+        word_count(text_col).alias("size"), _hash(seed, F.col(id_col).cast("string")).alias("_h")))
+    rows = rows.withColumn("_class", size_class(F.col("size"))).withColumn("_salt", (F.col("_h") % SALTS).cast("int"))
     cells = stage(rows.groupBy("source", "_class", "_salt").agg(
         F.count("*").alias("_rows"), F.sum("size").alias("_words")))
     targets = source_targets(cells.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_repeat)
@@ -91,7 +100,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         F.col("source").eqNullSafe(F.col("_src")) & (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_s")))
     in_cell = Window.partitionBy("source", "_class", "_salt").orderBy("size", "_h", "doc_id")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / float(1 << 30)
+    offset = _hash(seed, F.col("source"), "offset") / F.lit(float(1 << 60))
     rank = F.col("_start") + F.row_number().over(in_cell)
     crossed = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
     return placed.select(
