@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.session import stage
+
+__all__ = ["lookup", "lower_ascii", "read", "stage", "text_or_empty", "worker_memo"]
+
 # Fixed values of the task: the white space that separates words, and the
 # letters that are lower-cased.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -28,28 +30,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.  Only a local session
-    (tests) that names none gets a scratch folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-llm-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage,
-    survives lost executors, and later steps read only their columns.  The
-    folder belongs to the application; whoever names it empties it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpuslens-llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
