@@ -25,8 +25,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(docs: DataFrame, text_cols: Sequence[str], stemmer: str = "s", remove: Sequence[str] | None = None,
             to_space: Sequence[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """A corpus table -> ``(doc_id, corpus, tokens, n_words, stems)``, one row
-    per document; ids keep their type."""
-    docs = TX.build_corpus(docs, text_cols, id_col, remove=remove, to_space=to_space)
+    per document; ids keep their type.
+
+    The raw rows are dealt out by id first: everything that follows is work
+    per byte of text, a file's row group can't be split by the scan, and long
+    documents stand together in files.  The session's shuffle partitions say
+    how many parts there are."""
+    docs = TX.build_corpus(docs.repartition(id_col), text_cols, id_col, remove=remove, to_space=to_space)
     docs = TX.tokenize(docs).withColumn("n_words", T.word_count("corpus"))
     return TX.stem_tokens(docs.select(F.col(id_col).alias("doc_id"), "corpus", "tokens", "n_words"), stemmer)
 
