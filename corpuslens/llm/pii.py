@@ -5,7 +5,8 @@ with it over the whole corpus, and all words of the corpus by themselves.  The
 share of a term's occurrences that stand beside an entity estimates how
 strongly the term reveals it, P(entity | term); against the share of documents
 that hold the entity it gives the information in bits.  Terms over the
-thresholds are generalised, the strongest removed."""
+thresholds are generalised, the strongest removed, wherever in the corpus they
+stand."""
 
 from __future__ import annotations
 
@@ -36,6 +37,8 @@ SUPPORT = 3
 DISCLOSES, LEAST_BITS = 0.5, 2.0
 #: and removed from this share.
 REMOVES = 0.9
+#: Rows of 64 bits of the table of hash bits that words are held against.
+SLOTS = 1 << 14
 
 
 def _digits(value: Column) -> Column:
@@ -87,11 +90,52 @@ def context_terms(text: Column, span: Column) -> Column:
     return F.concat(before, after)
 
 
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
+def _bit(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 58).cast("int")
+
+
+def hash_bits(words: DataFrame) -> DataFrame:
+    """One row: ``bits``, an array of SLOTS longs with a bit set per word."""
+    # shiftleft takes a column of bits only in SQL
+    one = words.select(_slot(F.col("word")).alias("slot"), _bit(F.col("word")).alias("b")).withColumn("bit", F.expr("shiftleft(1L, b)"))
+    held = one.groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+    every = words.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(held, "slot", "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("mask", F.lit(0)).alias("mask")))),
+                                 lambda r: r["mask"]).alias("bits"))
+
+
+def _may_hold(bits: Column, word: Column) -> Column:
+    """False only for words that have no bit set in the table."""
+    at = F.get(bits, _slot(word))
+    return F.call_function("getbit", at, _bit(word)) == 1
+
+
+def occurrences(held: DataFrame, strong: DataFrame) -> DataFrame:
+    """(row, term, share): every place outside base spans where a word of
+    ``strong`` (word, all: its occurrences, share) stands in ``held``.  Words
+    without a bit in a table of fixed size are dropped in their row, so what
+    is shuffled grows with the revealing words and not with the corpus."""
+    total = strong.agg(F.sum("all")).first()[0] or 0
+    marked = held.select("row", "text", "base").crossJoin(F.broadcast(hash_bits(strong)))
+    text, bits = F.col("text"), F.col("bits")
+    any_word = F.exists(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: _may_hold(bits, w))
+    found = F.filter(match_spans(text, TERM, ADDED, len(KINDS)), lambda t: _may_hold(bits, F.lower(t["value"])) & ~F.exists(
+        "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    terms = marked.where(any_word).select("row", F.explode(found).alias("term"))
+    return lookup(terms.select("row", "term", F.lower("term.value").alias("word")), strong, "word", "all", total).where(
+        "share is not null")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
          discloses: float = DISCLOSES, least_bits: float = LEAST_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and added (arrays of spans in
-    order; added: terms beside an entity that reveal it, with the share of
-    their occurrences that do as ``share``) and text_key (a hash of the text).
+    order; added: terms that reveal an entity, wherever in the corpus they
+    stand, with the largest share of their occurrences beside one entity as
+    ``share``) and text_key (a hash of the text).
 
     Copies of one text count as one in ``support``.  A term that lies within
     a base span is left out.  Null and empty texts have no spans; null ids,
@@ -103,10 +147,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
         context_terms(F.col("text"), b), lambda t: F.struct(entity_name(b).alias("entity"), t.alias("term")))))
     free = F.filter(near, lambda n: ~F.exists(
         "base", lambda b: (b["start"] < n["term"]["end"]) & (n["term"]["start"] < b["end"])))
-    held = stage(rows.select("doc_id", "row", F.xxhash64("text").alias("text_key"), "base", free.alias("near")))
+    held = stage(rows.select("doc_id", "row", "text", F.xxhash64("text").alias("text_key"), "base", free.alias("near")))
 
-    beside = held.select("row", "text_key", F.explode("near").alias("n")).select(
-        "row", "text_key", "n.entity", F.lower("n.term.value").alias("word"), "n.term",
+    beside = held.select("text_key", F.explode("near").alias("n")).select(
+        "text_key", "n.entity", F.lower("n.term.value").alias("word"),
         F.concat_ws("\n", "n.entity", F.lower("n.term.value")).alias("pair"))
     per_text = beside.groupBy("pair", "entity", "word", "text_key").agg(F.count("*").alias("n"))
     pairs = per_text.groupBy("pair", "entity", "word").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(
@@ -119,11 +163,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     spread = holders.distinct().groupBy("entity").agg(F.count("*").alias("rows"))
     share = F.col("n") / F.col("all")
     bits = F.log2(share * F.lit(float(max(held.count(), 1))) / F.col("rows"))
-    strong = stage(known.join(spread, "entity").where((share >= discloses) & (bits >= least_bits)).select(
-        "pair", "n", F.least(share, F.lit(1.0)).alias("share")))
-    total = strong.agg(F.sum("n")).first()[0] or 0
-    met = lookup(beside.select("row", "term", "pair"), strong, "pair", "n", total).where("share is not null")
-    added = met.groupBy("row", "term").agg(F.max("share").alias("share")).groupBy("row").agg(
+    strong = stage(known.join(spread, "entity").where((share >= discloses) & (bits >= least_bits)).groupBy("word").agg(
+        F.max("all").alias("all"), F.max(F.least(share, F.lit(1.0))).alias("share")))
+    added = occurrences(held, strong).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("term.start", "term.ord", "term.end", "term.kind", "term.value", "share"))).alias("added"))
     return held.join(added, "row", "left").select(
         "doc_id", "base", F.coalesce("added", F.array().cast(

@@ -103,6 +103,26 @@ def test_disclosing_terms(spark):
     assert "wizardword" not in out and "hidden.example" not in out and "[EMAIL]" in out and out.startswith("zz0 the ")
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """A revealing word is marked further on in the text, in other texts and
+    in capitals, but not within an entity."""
+    far = "x " * 60
+    rows = [(i, f"zz{i} wizardword at owner@hidden.example {prose(i, 30)}") for i in range(5)]
+    rows[0] = (0, rows[0][1] + " " + far + "wizardword zz")
+    rows += [(7, f"😀 {far}WizardWord 1"), (8, "wizardword@else.example"), (9, "wizardwords " + far), (None, None)]
+    rows += [(20 + i, prose(50 + i, 20)) for i in range(30)]
+    docs = frame(spark, rows).withColumn("bits", F.lit("b"))
+    found = pii.find(docs)
+    text = dict(rows)
+    got = {r.doc_id: [(s.start, s.end, s.value) for s in r.added if s.value.lower() == "wizardword"] for r in found.collect()}
+    for i in [0, 1, 2, 3, 4, 7]:
+        assert got[i] == [(m.start(), m.end(), m[0]) for m in re.finditer("(?i)wizardword", text[i])]
+    assert not got[8] and not got[9] and not got[None]
+    assert len(got[0]) == 2
+    out = docs.where("doc_id in (0, 7)").join(found, "doc_id").select(pii.sanitise(F.col("text"), F.col("base"), F.col("added")).alias("t"))
+    assert not any("wizardword" in r.t.lower() for r in out.collect())
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 700])
 def test_match_spans(spark, n):
     text = "😀 " + "ab1 " * n
