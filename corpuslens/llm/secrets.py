@@ -48,13 +48,15 @@ CLASSES = (
     CharClass("base64", "[A-Za-z0-9+/=_-]+", UPPER + LOWER + DIGITS + "+/=_-", 3.75),
 )
 # Strings that are no secrets whatever their entropy: words, numbers, UUIDs,
-# placeholders and rows of the alphabet.
+# and those that hold a word of placeholders or a row of the alphabet.
 ALLOW = (
     r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/=+]+(?:[A-Z]?[a-z]+|[A-Z]+))*+[-_/=+]*",
     r"[-+]?[0-9]+(?:[-/_=+][0-9]+)*+",
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"(?i).*(?:example|placeholder|changeme|xxxxxx|abcdefghij|0123456789).*",
 )
+# The last of them clears the segment of a string that holds such a word.
+SEGMENT = r"(?<![A-Za-z0-9+])(?i:[A-Z0-9+]*(?:example|placeholder|changeme|xxxxxx|abcdefghij|0123456789)[A-Z0-9+]*+)"
 
 
 def base_spans(text: Column) -> Column:
@@ -101,11 +103,36 @@ def hot_stretch(value: Column, one: CharClass, window: int = WINDOW) -> Column:
                        lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
-def entropy_spans(text: Column, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW,
-                  window: int = WINDOW) -> Column:
-    """Spans of the stretches of hot windows; strings on the allow list have none."""
+def _blanked(run: Column, cuts: Column) -> Column:
+    """The run's string with spaces where the spans ``cuts`` lie."""
+    size = F.length(run["value"])
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cut(s: Column, c: Column) -> Column:
+        start = F.greatest(c["start"] - run["start"], s["at"])
+        end = F.greatest(F.least(c["end"] - run["start"], size), s["at"])
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(
+            F.substring(run["value"], s["at"] + 1, start - s["at"]), F.repeat(F.lit(" "), end - start))).alias("out"))
+
+    return F.aggregate(in_order(cuts), state, cut, lambda s: F.concat(
+        F.array_join(s["out"], ""), F.substring(run["value"], s["at"] + 1, size)))
+
+
+def entropy_spans(text: Column, base: Column, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW[:-1],
+                  segment: str = SEGMENT, window: int = WINDOW) -> Column:
+    """Spans of the stretches of hot windows.  Base spans and segments with a
+    word of placeholders are cut out of a string, and each remainder stands
+    for itself; strings on the allow list have none."""
     allowed = f"^(?:{'|'.join(f'(?:{a})' for a in allow)})$"
-    found = F.filter(match_spans(text, CANDIDATE, ADDED, len(KINDS)), lambda s: ~F.rlike(s["value"], F.lit(allowed)))
+    secret = lambda s: ~F.rlike(s["value"], F.lit(allowed))
+
+    def pieces(s: Column) -> Column:
+        met = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return let(F.concat(met, match_spans(s["value"], segment, ADDED, len(KINDS), s["start"])), lambda cuts: F.when(
+            F.size(cuts) == 0, F.array(s)).otherwise(match_spans(_blanked(s, cuts), CANDIDATE, ADDED, len(KINDS), s["start"])))
+
+    runs = F.filter(match_spans(text, CANDIDATE, ADDED, len(KINDS)), secret)
+    found = F.filter(F.flatten(F.transform(runs, pieces)), secret)
 
     def stretch(s: Column) -> Column:
         hot = F.lit(None).cast("struct<first:int,last:int>")
@@ -120,13 +147,12 @@ def entropy_spans(text: Column, classes: tuple[CharClass, ...] = CLASSES, allow:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, base and added: arrays of spans
-    (start, ord, end, kind, value) in order.  An added span that meets a base
-    span is left out.  Null and empty texts have no spans; null ids, repeated
-    rows and empty tables come out as they went in."""
+    (start, ord, end, kind, value) in order.  What an added span would share
+    with a base span is left to that.  Null and empty texts have no spans; null
+    ids, repeated rows and empty tables come out as they went in."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), base_spans(text).alias("base"), entropy_spans(text).alias("hot"))
-    clear = F.filter("hot", lambda h: ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
-    return rows.select("doc_id", "base", clear.cast(SPAN).alias("added"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), base_spans(text).alias("base"))
+    return rows.select("doc_id", "base", entropy_spans(F.col("text"), F.col("base")).cast(SPAN).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
