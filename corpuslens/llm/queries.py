@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import ann, bpe, chat, exact, langid, mixing, pii, secrets, simhash, toxicity
+from corpuslens.llm import ann, bpe, chat, dataset_queries, exact, langid, mixing, pii, secrets, simhash, toxicity
 from corpuslens.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,6 +272,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
+    **dataset_queries.QUERIES,
 }
 
 ORACLE: dict[str, str] = {
@@ -281,4 +282,5 @@ ORACLE: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_personal_data": _op9_sql(),
+    **dataset_queries.ORACLE,
 }
