@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.session import stage
 
-__all__ = ["lookup", "lower_ascii", "read", "stage", "text_or_empty", "worker_memo"]
+__all__ = ["lookup", "lower_ascii", "read", "split_lookup", "stage", "text_or_empty", "worker_memo"]
 
 # Fixed values of the task: the white space that separates words, and the
 # letters that are lower-cased.
@@ -69,6 +69,19 @@ def lookup(big: DataFrame, table: DataFrame, key: str, weight: str, total: int)
         *[F.coalesce(F.col("__hot"), F.col("__cold"))[v].alias(v) for v in values])
 
 
+def split_lookup(big: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``big`` joined to ``table`` on ``key``: ``lookup`` for a ``big`` that is
+    written already and cheap to read twice.  Rows with a hot key (HOT_KEYS of
+    them at most) meet it where they are and only the rest are shuffled.  Rows
+    without a row in ``table`` go; null keys match nothing."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    least = max(HOT_FLOOR, -(-total // HOT_KEYS))
+    hot, cold = F.broadcast(table.where(F.col(weight) >= least)), table.where(F.col(weight) < least)
+    values = [c for c in table.columns if c != key]
+    rest = big.join(hot.select(key), key, "left_anti")
+    return big.join(hot, key).select(*big.columns, *values).unionAll(rest.join(cold, key).select(*big.columns, *values))
+
+
 def worker_memo(key, build):
     """An object that lives as long as the Python worker.  Task functions are
     shipped by value, so their own globals last for one task only."""
