@@ -155,11 +155,3 @@ def test_created_ids_depend_on_rows_alone(spark):
     assert one.select("doc_id").distinct().count() == 4
     with pytest.raises(ValueError):
         SC.read_corpus(spark, d, "csv", "t string", id_col="t", check_unique=True)
-
-
-def test_substring_frequency_in_several_passes(spark):
-    docs = spark.createDataFrame([(1, ["abc", "de"]), (2, ["bcd"]), (3, []), (3, ["bc"])], "doc_id long, stems array<string>")
-    terms = spark.createDataFrame([("bc",), ("c d",), ("zz",), ("b",), ("",)], "stem string")
-    for per_pass in (100, 1):
-        got = {r["term"]: r["n_occ_doc"] for r in FL.substring_doc_freq(docs, terms, terms_per_pass=per_pass).collect()}
-        assert got == {"bc": 3, "c d": 1, "zz": 0, "b": 3}
