@@ -74,7 +74,7 @@ def query_predicate(text_cols: Sequence[str], query) -> Column:
     return reduce(and_ if kind == "all" else or_, [query_predicate(text_cols, p) for p in parts])
 
 
-def _words(query: str) -> list[str]:
+def query_words(query: str) -> list[str]:
     return re.findall(r'"[^"]+"|\S+', query)
 
 
@@ -94,7 +94,7 @@ def record_search(pubs: DataFrame, text_cols: Sequence[str], query=None,
     pred = F.lit(True)
     if query:
         if isinstance(query, str):
-            query = (any_word if any_of else all_of)(*_words(query))
+            query = (any_word if any_of else all_of)(*query_words(query))
         pred = pred & query_predicate(text_cols, query)
     if years:
         pred = pred & F.col(year_col).isin(list(years))

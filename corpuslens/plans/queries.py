@@ -15,6 +15,7 @@ from corpuslens.operators import citations as H
 from corpuslens.operators import features as G
 from corpuslens.operators import filters as FL
 from corpuslens.operators import gmm as GM
+from corpuslens.operators import index as IX
 from corpuslens.operators import kmeans as KM
 from corpuslens.operators import rake as R
 from corpuslens.operators import search as E
@@ -613,6 +614,30 @@ def q_doi_duplicates(spark, sf):
     return H.doi_to_uid(pubs.select("doi").distinct(), pubs).select("doi", "uid")
 
 
+# ============================================================ search over a persistent index
+
+def q_search_indexed(spark, sf):
+    """E1 and E2 without reading texts at search time."""
+    d = read(spark, sf, "documents")
+    index = IX.build_index(d, new_path(spark, "index"), ["text"], "doc_id", "spaces")
+    return d.join(IX.search_indexed(index, "tion The"), "doc_id", "left_semi").select("doc_id", "lang", "source", "n_chars")
+
+
+def q_record_search_indexed(spark, sf):
+    """H2's tree over two text columns."""
+    pubs = _pubs(spark, sf)
+    index = IX.build_index(pubs, new_path(spark, "index"), ["title", "edition"], "uid", "words")
+    tree = H.all_of(H.any_word('"not spec*"', "urg?nt", "lo?"), "*", H.any_word("f", "P"))
+    return pubs.join(IX.record_search_indexed(index, tree), "uid", "left_semi").select("uid", "title", "edition")
+
+
+def q_phrase_search_indexed(spark, sf):
+    """H2's words and phrases over the texts."""
+    d = read(spark, sf, "documents")
+    index = IX.build_index(d, new_path(spark, "index"), ["text"], "doc_id", "words")
+    return IX.record_search_indexed(index, H.any_word('"th* the"', H.all_of("*tion", '"de la"')), id_col="doc_id")
+
+
 # ============================================================ registry
 
 PLAIN: dict[str, Query] = {
@@ -634,6 +659,8 @@ PLAIN: dict[str, Query] = {
     "impact_null_groups": q_impact_null_groups, "record_search_tree": q_record_search_tree,
     "retrieve_after": q_retrieve_after, "cited_refs_page": q_cited_refs_page,
     "citing_editions": q_citing_editions, "related_span": q_related_span, "doi_duplicates": q_doi_duplicates,
+    "search_indexed": q_search_indexed, "record_search_indexed": q_record_search_indexed,
+    "phrase_search_indexed": q_phrase_search_indexed,
 }
 
 # these take the flow over the documents
@@ -720,6 +747,15 @@ UNION ALL SELECT 'cluster', reason IS NULL, reason, count(*) FROM cf GROUP BY AL
 UNION ALL SELECT 'correlation', reason2 IS NULL, reason2, count(*) FROM crf GROUP BY ALL"""
     o["search_rows"] = ("SELECT doc_id, lang, source, n_chars FROM documents WHERE text IS NOT NULL "
                         "AND contains(lower(text), 'tion') AND contains(lower(text), 'the')")
+    o["search_indexed"] = o["search_rows"]
+    o["record_search_indexed"] = """
+SELECT o_orderkey AS uid, o_orderpriority AS title, o_orderstatus AS edition FROM orders
+WHERE regexp_matches(o_orderpriority, '(?i)\\bnot\\s+spec|\\burg\\wnt\\b|\\blo\\w\\b') AND o_orderstatus IN ('F', 'P')"""
+    word = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+    other = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+    o["phrase_search_indexed"] = f"""
+SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|{other})th{word}*\\s+the({other}|$)')
+   OR regexp_matches(text, '(?i)tion({other}|$)') AND regexp_matches(text, '(?i)(^|{other})de\\s+la({other}|$)')"""
     o["search_ids"] = ("SELECT conv_id, count(*) AS n_turns FROM conversations WHERE text IS NOT NULL "
                        "AND contains(lower(text), 'ing') AND contains(lower(text), 'on') GROUP BY conv_id")
     o["vocab_search"] = C(*vocab) + "SELECT stem, phrase, round(score, 6) AS score FROM vf WHERE contains(phrase, 'tion')"
