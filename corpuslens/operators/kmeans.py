@@ -55,34 +55,6 @@ def kmeans_fit(feats: DataFrame, k: int | None = None, seed: int = 0, max_iter:
     return renumber_labels(pred, "label", id_col), model
 
 
-def kmeans_sweep(feats: DataFrame, k_min: int = 5, k_max: int = 100, step: int = 5,
-                 test_size: float = 0.25, seed: int = 0, features_col: str = "features",
-                 id_col: str = "doc_id", max_iter: int = 300, sil_fraction: float | None = None) -> DataFrame:
-    """fits for k in k_min..k_max (inclusive) on the train part; on the
-    test part (a seeded hash sample of it with ``sil_fraction``) the silhouette
-    (squared Euclidean, Spark's exact closed form).  ``(k, inertia,
-    silhouette, n_iter, converged)``; the best k is the argmax silhouette."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    train, test = train_test_split(feats, test_size, seed, id_col)
-    if sil_fraction is not None:
-        test = test.where(hash_fraction(id_col, seed + 1) < sil_fraction)
-    train = train.persist()
-    test = test.persist()
-    ev = ClusteringEvaluator(featuresCol=features_col, predictionCol="prediction",
-                             distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in range(int(k_min), int(k_max) + 1, int(step)):
-        m = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features_col).fit(train)
-        pred = m.transform(test)
-        sil = ev.evaluate(pred) if pred.select("prediction").distinct().count() > 1 else float("nan")
-        rows.append((k, float(m.summary.trainingCost), float(sil), int(m.summary.numIter),
-                     bool(m.summary.numIter < max_iter)))
-    train.unpersist()
-    test.unpersist()
-    return feats.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, n_iter int, converged boolean")
-
-
 def _assign_batches(centres: np.ndarray, vec_col: str, id_col: str):
     def run(batches):
         c = centres

@@ -6,8 +6,10 @@ different order differ near 1e-12)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from corpuslens.operators import index as IX
 from corpuslens.operators import kmeans as KM
 from corpuslens.operators import rake as R
 from corpuslens.operators import search as E
+from corpuslens.operators import sweeps as SW
 from corpuslens.operators import text as TX
 from corpuslens.operators import themes as TH
 from corpuslens.operators import vocab as V
@@ -614,6 +617,43 @@ def q_doi_duplicates(spark, sf):
     return H.doi_to_uid(pubs.select("doi").distinct(), pubs).select("doi", "uid")
 
 
+# ============================================================ sweeps from given centres
+
+def _sweep_start(spark, sf):
+    """The vectors, and for every k of the sweep its first k vectors as centres."""
+    e = stage(read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    ks = SW.sweep_range(e.count())
+    first = np.array([r[0] for r in e.orderBy("vec_id").limit(ks[-1]).select("embedding").collect()])
+    return e, {k: first[:k] for k in ks}
+
+
+def q_sweep_inertia(spark, sf):
+    e, start = _sweep_start(spark, sf)
+    return spark.createDataFrame(list(SW.inertias(e, start, "embedding").items()), "k int, inertia double").select("k", r6("inertia").alias("inertia"))
+
+
+def q_sweep_silhouette(spark, sf):
+    e, start = _sweep_start(spark, sf)
+    return spark.createDataFrame(list(SW.silhouettes(e, start, "embedding").items()), "k int, silhouette double").select(
+        "k", r6("silhouette").alias("silhouette"))
+
+
+def q_sweep_scores(spark, sf):
+    """AIC and BIC of the diagonal mixtures of the labels by nearest centre."""
+    e, start = _sweep_start(spark, sf)
+    scores = SW.scores(e, SW.mixtures_from_centres(e, start, "diag", "embedding"), "embedding")
+    return spark.createDataFrame([(k, *v) for k, v in scores.items()], "k int, aic double, bic double").select(
+        "k", F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic"))
+
+
+def q_kmeans_bounded(spark, sf):
+    """F2 with bounds: the labels of the third round, k = int(sqrt(N))."""
+    e, start = _sweep_start(spark, sf)
+    k = math.isqrt(e.count())
+    first = np.array([r[0] for r in e.orderBy("vec_id").limit(k).select("embedding").collect()])
+    return SW.kmeans_bounded(e, first, 3, 0.0, "embedding", "vec_id")[0]
+
+
 # ============================================================ search over a persistent index
 
 def q_search_indexed(spark, sf):
@@ -660,7 +700,8 @@ PLAIN: dict[str, Query] = {
     "retrieve_after": q_retrieve_after, "cited_refs_page": q_cited_refs_page,
     "citing_editions": q_citing_editions, "related_span": q_related_span, "doi_duplicates": q_doi_duplicates,
     "search_indexed": q_search_indexed, "record_search_indexed": q_record_search_indexed,
-    "phrase_search_indexed": q_phrase_search_indexed,
+    "phrase_search_indexed": q_phrase_search_indexed, "sweep_inertia": q_sweep_inertia,
+    "sweep_silhouette": q_sweep_silhouette, "sweep_scores": q_sweep_scores, "kmeans_bounded": q_kmeans_bounded,
 }
 
 # these take the flow over the documents
@@ -799,6 +840,39 @@ per AS (SELECT vec_id, max(CASE WHEN c = own AND n > 1 THEN tot / (n - 1) END) A
         FROM md GROUP BY vec_id)
 SELECT round(avg(CASE WHEN own_n <= 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END), 6)
        AS silhouette FROM per"""
+    place = "row_number() OVER (ORDER BY vec_id) - 1"
+    near = lambda name, centres: f"""
+{name} AS (SELECT k, vec_id, arg_min(comp, (d2, comp)) AS comp, min(d2) AS d2 FROM (
+  SELECT k, comp, ex.vec_id, sum((x - c) * (x - c)) AS d2 FROM ex JOIN {centres} USING (d) GROUP BY ALL) GROUP BY k, vec_id)"""
+    start = f"""
+ks AS (SELECT unnest(generate_series(5, greatest(5, 2 * floor(sqrt(count(*)))::INTEGER), 5))::INTEGER AS k FROM embeddings),
+c0 AS (SELECT k, comp, d, x AS c FROM ks JOIN (SELECT vec_id, {place} AS comp FROM embeddings) ON comp < k JOIN ex USING (vec_id))"""
+    sweep = C(S.EMB, start, near("near", "c0")) + ",\nnx AS (SELECT near.k, near.comp, near.vec_id, ex.d, ex.x FROM near JOIN ex USING (vec_id))"
+    o["sweep_inertia"] = sweep + "SELECT k, round(sum(d2), 6) AS inertia FROM near GROUP BY k"
+    o["sweep_silhouette"] = sweep + """,
+cs AS (SELECT k, comp, count(*) AS n FROM near GROUP BY ALL),
+cm AS (SELECT k, comp, d, sum(x) AS sx FROM nx GROUP BY ALL),
+cq AS (SELECT k, comp, sum(x * x) AS q FROM nx GROUP BY ALL),
+pn AS (SELECT k, vec_id, any_value(comp) AS own, sum(x * x) AS sq FROM nx GROUP BY ALL),
+dt AS (SELECT cm.k, cm.comp, ex.vec_id, sum(ex.x * cm.sx) AS xs FROM ex JOIN cm USING (d) GROUP BY ALL),
+md AS (SELECT k, vec_id, own, comp, cq.q - 2 * xs + cs.n * sq AS tot, cs.n FROM dt JOIN pn USING (k, vec_id) JOIN cq USING (k, comp) JOIN cs USING (k, comp)),
+per AS (SELECT k, vec_id, max(CASE WHEN comp = own AND n > 1 THEN greatest(tot, 0) / (n - 1) END) AS a,
+               min(CASE WHEN comp <> own THEN tot / n END) AS b FROM md GROUP BY ALL)
+SELECT k, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM per GROUP BY k"""
+    o["sweep_scores"] = sweep + """,
+par AS (SELECT k, comp, d, avg(x) AS mu, var_pop(x) + 1e-6 AS var FROM nx GROUP BY ALL),
+pw AS (SELECT k, comp, count(*) / sum(count(*)) OVER (PARTITION BY k) AS w FROM near GROUP BY k, comp),
+lp AS (SELECT par.k, par.comp, ex.vec_id, any_value(ln(w)) - 0.5 * sum(ln(2 * pi() * var) + (x - mu) * (x - mu) / var) AS l
+       FROM ex JOIN par USING (d) JOIN pw ON pw.k = par.k AND pw.comp = par.comp GROUP BY ALL),
+lse AS (SELECT k, vec_id, m + ln(sum(exp(l - m))) AS l FROM (SELECT *, max(l) OVER (PARTITION BY k, vec_id) AS m FROM lp) GROUP BY k, vec_id, m),
+np AS (SELECT k, 2 * count(*) + count(DISTINCT comp) - 1 AS q FROM par GROUP BY k)
+SELECT k, round(-2 * sum(l) + 2 * any_value(q), 3) AS aic, round(-2 * sum(l) + any_value(q) * ln(count(*)), 3) AS bic FROM lse JOIN np USING (k) GROUP BY k"""
+    mean = lambda name, of: f"\n{name} AS (SELECT {of}.k, {of}.comp, ex.d, avg(ex.x) AS c FROM {of} JOIN ex USING (vec_id) GROUP BY ALL)"
+    root = f"""
+c0 AS (SELECT 0 AS k, comp, d, x AS c FROM (SELECT vec_id, {place} AS comp, floor(sqrt(count(*) OVER ())) AS k FROM embeddings) JOIN ex USING (vec_id)
+       WHERE comp < k)"""
+    o["kmeans_bounded"] = C(S.EMB, root, near("n0", "c0"), mean("c1", "n0"), near("n1", "c1"), mean("c2", "n1"), near("n2", "c2")) + (
+        "SELECT vec_id, comp::INTEGER AS label FROM n2")
     gm = C(S.EMB) + """,
 cs AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
 par AS (SELECT label, d, avg(x) AS mu, var_pop(x) + 1e-6 AS var FROM ex GROUP BY label, d),
