@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.constants import RETRIEVE_DESC_ONLY, RETRIEVE_SORT_FIELDS, SYMBOLIC_TIME_SPANS
+from corpuslens.operators.paging import TOP_ROWS, page
+from corpuslens.session import stage
 
 
 # Join keys over which the rows of one group are spread (H1, H7).
@@ -115,15 +117,17 @@ def record_search(pubs: DataFrame, text_cols: Sequence[str], query=None,
 
 def retrieve(records: DataFrame, offset: int = 1, count: int = 100, sort_field: str = "RS",
              sort_order: str = "D", field_map: dict[str, str] | None = None,
-             uid_col: str = "uid", max_count: int | None = None, after: tuple | None = None) -> DataFrame:
+             uid_col: str = "uid", max_count: int | None = None, after: tuple | None = None,
+             top_rows: int = TOP_ROWS) -> DataFrame:
     """H3: one page.  ``offset`` >= 1 is the first record, ``count`` >= 0 the
     page size (0 -> only the number of records found; ``max_count``: the
     caller's bound on it), sort by a two-letter field (A/D; relevance and
     times cited only D), ties by uid, nulls last.
 
-    A deep ``offset`` gathers offset + count rows in one task.  ``after`` is the
-    (sort value, uid) of the last record of the page before: the page is then
-    found by a filter and only ``count`` rows are gathered."""
+    Uids are unique.  A page that ends beyond ``top_rows`` is read from the
+    ranges of the order that hold it (see ``paging``).  ``after`` is the (sort
+    value, uid) of the last record of the page before: the page is then found
+    by a filter and only ``count`` rows are gathered."""
     if offset < 1:
         raise ValueError("offset must be >= 1")
     if count < 0 or (max_count is not None and count > max_count):
@@ -144,7 +148,7 @@ def retrieve(records: DataFrame, offset: int = 1, count: int = 100, sort_field:
         beyond = F.lit(False) if value is None else F.col(col).isNull() | (
             F.col(col) < value if sort_order == "D" else F.col(col) > value)
         records = records.where(same | F.coalesce(beyond, F.lit(False)))
-    return records.orderBy(key, F.asc(uid_col)).offset(offset - 1).limit(count)
+    return page(records, list(dict.fromkeys([col, uid_col])), [key, F.asc(uid_col)], offset, count, top_rows)
 
 
 def page_plan(spark, records_found: DataFrame, offset: int = 1, limit: int = 100) -> DataFrame:
@@ -159,12 +163,6 @@ def page_plan(spark, records_found: DataFrame, offset: int = 1, limit: int = 100
 
 # ---------------------------------------------------------------- H4-H8
 
-def paged(df: DataFrame, order: Sequence[Column], offset: int = 1, count: int | None = None) -> DataFrame:
-    """Records ``offset`` .. ``offset + count - 1`` of ``df`` in a total order;
-    all of them without ``count``."""
-    return df if count is None else df.orderBy(*order).offset(offset - 1).limit(count)
-
-
 def _publications(pubs: DataFrame, time_span, date_col: str, editions, edition_col: str) -> DataFrame:
     if time_span is not None:
         pubs = pubs.where(F.col(date_col).between(F.to_date(F.lit(time_span[0])), F.to_date(F.lit(time_span[1]))))
@@ -179,15 +177,18 @@ def retrieve_by_id(pubs: DataFrame, ids: DataFrame, uid_col: str = "uid") -> Dat
 
 
 def cited_references(citations: DataFrame, seeds: DataFrame, cited: DataFrame | None = None,
-                     cited_key: str = "cited_uid", offset: int = 1, count: int | None = None) -> DataFrame:
+                     cited_key: str = "cited_uid", offset: int = 1, count: int | None = None,
+                     top_rows: int = TOP_ROWS) -> DataFrame:
     """H5: references cited by the seed records, with the cited record's
     columns when ``cited`` (keyed by ``cited_key``) is given; a page of them
-    (by citing, then cited id) with ``count``."""
+    (by citing, then cited id, which tell them apart) with ``count``."""
     s = seeds.select(F.col(seeds.columns[0]).alias("citing_uid")).distinct()
     refs = citations.join(s, "citing_uid")
+    if count is not None:  # the page first, then what belongs to it
+        refs = page(refs, ["citing_uid", "cited_uid"], [F.asc("citing_uid"), F.asc("cited_uid")], offset, count, top_rows)
     if cited is not None:
         refs = refs.join(cited.withColumnRenamed(cited_key, "cited_uid"), "cited_uid", "left")
-    return paged(refs, [F.asc("citing_uid"), F.asc("cited_uid")], offset, count)
+    return refs
 
 
 def citing_articles(citations: DataFrame, seeds: DataFrame, pubs: DataFrame,
@@ -218,7 +219,9 @@ def related_records(citations: DataFrame, seeds: DataFrame, top_n: int | None =
     Work is the seeds' references x the citers of each reference.  Citers are
     spread over ``SALTS`` join keys and the references repeated for each, so a
     much-cited reference is shared by as many tasks; couplings are summed
-    partially, and the totals come from the same table as the ranks."""
+    partially and written.  The totals are a partial sum over them, and with
+    ``top_n`` every task hands on its leading couplings of a seed only (while
+    the last rank wanted is within Spark's bound for that, 1000 by default)."""
     s = seeds.select(F.col(seeds.columns[0]).alias("citing_uid")).distinct()
     edges = citations.select("citing_uid", "cited_uid").distinct()
     seed_refs = edges.join(s, "citing_uid").select(
@@ -229,15 +232,15 @@ def related_records(citations: DataFrame, seeds: DataFrame, top_n: int | None =
         allowed = _publications(pubs, time_span, date_col, editions, edition_col).select(
             F.col(uid_col).alias("related_uid")).distinct()
         citers = citers.join(allowed, "related_uid", "left_semi")
-    co = (seed_refs.join(citers, ["cited_uid", "_s"])
-          .groupBy("seed_uid", "related_uid").agg(F.count(F.lit(1)).alias("shared")))
-    of_seed = Window.partitionBy("seed_uid")
+    co = stage(seed_refs.join(citers, ["cited_uid", "_s"])
+               .groupBy("seed_uid", "related_uid").agg(F.count(F.lit(1)).alias("shared")))
     other = (F.col("seed_uid") != F.col("related_uid")).cast("long")
-    ranked = (co.withColumn("n_related", F.sum(other).over(of_seed))
-              .withColumn("rank", F.row_number().over(of_seed.orderBy(F.desc("shared"), F.asc("related_uid")))))
+    totals = co.groupBy("seed_uid").agg(F.sum(other).alias("n_related"))
+    rank = F.row_number().over(Window.partitionBy("seed_uid").orderBy(F.desc("shared"), F.asc("related_uid")))
+    ranked = co.withColumn("rank", rank)
     if top_n is not None:
-        ranked = ranked.where(F.col("rank").between(offset, offset + top_n - 1))
-    return ranked.select("seed_uid", "related_uid", "shared", "n_related", "rank")
+        ranked = ranked.where(F.col("rank") <= offset + top_n - 1).where(F.col("rank") >= offset)
+    return ranked.join(totals, "seed_uid").select("seed_uid", "related_uid", "shared", "n_related", "rank")
 
 
 def doi_to_uid(dois: DataFrame, pubs: DataFrame, doi_col: str = "doi", uid_col: str = "uid") -> DataFrame:

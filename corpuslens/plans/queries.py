@@ -541,12 +541,12 @@ def q_inverse_transform(spark, sf):
 
 
 def q_svd_trace(f):
-    """G4 at full rank over the 100 leading topics: the squared singular
-    values add up to the squares of the features."""
+    """G4 at full rank over all topics: the squared singular values add up to
+    the squares of the features."""
     from corpuslens.operators import svd as SV
     n, _ = f.stats
-    feats = stage(G.tfidf_features(f.counts, n, "l2").where("topic_id < 100"))
-    sc = SV.scree(feats, 100, 100)
+    feats, n_topics = stage(G.tfidf_features(f.counts, n, "l2")), f.topics.count()
+    sc = SV.scree(feats, n_topics, n_topics)
     return sc.agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 4).alias("sum_sq"), F.count(F.lit(1)).alias("n"))
 
 
@@ -594,6 +594,19 @@ def q_retrieve_after(spark, sf):
     return page.select("uid", "times_cited")
 
 
+def q_retrieve_deep(spark, sf):
+    """H3: a page deep within all records, nulls in the sort field."""
+    pubs = _pubs(spark, sf).withColumn("title", F.expr("nullif(title, '4-NOT SPECIFIED')"))
+    page = H.retrieve(pubs, offset=11_990, count=75, sort_field="SO", sort_order="A", field_map={"SO": "title"}, top_rows=1000)
+    return page.select("uid", "title", "times_cited")
+
+
+def q_cited_refs_deep(spark, sf):
+    """H5: a page deep within all references."""
+    refs = H.cited_references(_citations(spark, sf), _pubs(spark, sf).select("uid"), offset=41_234, count=120, top_rows=1000)
+    return refs.select("citing_uid", "cited_uid")
+
+
 def q_cited_refs_page(spark, sf):
     return H.cited_references(_citations(spark, sf), _search(spark, sf).select("uid"), offset=21, count=40)
 
@@ -700,7 +713,8 @@ PLAIN: dict[str, Query] = {
     "retrieve_after": q_retrieve_after, "cited_refs_page": q_cited_refs_page,
     "citing_editions": q_citing_editions, "related_span": q_related_span, "doi_duplicates": q_doi_duplicates,
     "search_indexed": q_search_indexed, "record_search_indexed": q_record_search_indexed,
-    "phrase_search_indexed": q_phrase_search_indexed, "sweep_inertia": q_sweep_inertia,
+    "phrase_search_indexed": q_phrase_search_indexed, "retrieve_deep": q_retrieve_deep,
+    "cited_refs_deep": q_cited_refs_deep, "sweep_inertia": q_sweep_inertia,
     "sweep_silhouette": q_sweep_silhouette, "sweep_scores": q_sweep_scores, "kmeans_bounded": q_kmeans_bounded,
 }
 
@@ -789,6 +803,12 @@ UNION ALL SELECT 'correlation', reason2 IS NULL, reason2, count(*) FROM crf GROU
     o["search_rows"] = ("SELECT doc_id, lang, source, n_chars FROM documents WHERE text IS NOT NULL "
                         "AND contains(lower(text), 'tion') AND contains(lower(text), 'the')")
     o["search_indexed"] = o["search_rows"]
+    o["retrieve_deep"] = """
+SELECT o_orderkey AS uid, nullif(o_orderpriority, '4-NOT SPECIFIED') AS title, o_totalprice AS times_cited FROM orders
+ORDER BY title NULLS LAST, uid LIMIT 75 OFFSET 11989"""
+    o["cited_refs_deep"] = """
+SELECT DISTINCT l_orderkey AS citing_uid, l_partkey AS cited_uid FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+ORDER BY citing_uid, cited_uid LIMIT 120 OFFSET 41233"""
     o["record_search_indexed"] = """
 SELECT o_orderkey AS uid, o_orderpriority AS title, o_orderstatus AS edition FROM orders
 WHERE regexp_matches(o_orderpriority, '(?i)\\bnot\\s+spec|\\burg\\wnt\\b|\\blo\\w\\b') AND o_orderstatus IN ('F', 'P')"""
@@ -1004,7 +1024,7 @@ m AS (SELECT label, d, avg(x) AS mean FROM ex GROUP BY label, d),
 w AS (SELECT a.label, b.label AS t, sum(a.mean * b.mean) AS weight FROM m a JOIN m b USING (d) GROUP BY a.label, b.label)
 SELECT label, rank, 'label ' || t AS phrase, round(weight, 6) AS weight FROM
   (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY weight DESC, t) - 1)::INTEGER AS rank FROM w) WHERE rank < 5"""
-    o["svd_trace"] = C(*feats) + "SELECT round(sum(value * value), 4) AS sum_sq, 100::BIGINT AS n FROM tfidf WHERE topic_id < 100"
+    o["svd_trace"] = C(*feats) + "SELECT round(sum(value * value), 4) AS sum_sq, (SELECT count(*) FROM topics)::BIGINT AS n FROM tfidf"
     o["lsa_norms"] = C(*feats) + """
 SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM tfidf) THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM ds"""
     o["map_variance"] = "SELECT count(*) AS n, true AS ordered, true AS uncorrelated FROM embeddings"
