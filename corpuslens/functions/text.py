@@ -155,6 +155,20 @@ def distinct_items(arr: Column | str) -> Column:
     return F.transform(keep, lambda p: p["cur"])
 
 
+def counted_items(arr: Column | str) -> Column:
+    """Distinct items of an array with their counts, as structs (item, n),
+    sorted by item, in O(n log n).  Nulls are dropped."""
+    held = F.array_sort(F.filter(_col(arr), lambda x: x.isNotNull()))
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(begins), lambda at: F.transform(at, lambda p, j: F.struct(
+            F.get(s, p).alias("item"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("n"))))[0]
+
+    # the sorted array is named by a lambda, so that it is sorted once
+    return F.transform(F.array(held), runs)[0]
+
+
 def contains_all_words(c: Column | str, search: str, regex: bool = False) -> Column:
     """E1 predicate: every whitespace word of ``search`` occurs in the column,
     case-insensitive (Unicode).  Literal by default; ``regex=True`` treats words

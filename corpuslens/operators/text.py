@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.functions.porter2 import stem as porter2_stem
+from corpuslens.operators.skew import join_by_weight
+from corpuslens.session import stage
 
 NATIVE_STEMMERS = ("none", "s")
 STEMMERS = NATIVE_STEMMERS + ("porter2",)
@@ -73,15 +75,20 @@ def stem_tokens(df: DataFrame, stemmer: str, col: str = "tokens", out: str = "st
                 id_col: str = "doc_id", dictionary: DataFrame | None = None) -> DataFrame:
     """Stemmed token array per document, order kept.
 
-    Native stemmers map the array in place.  A Python stemmer goes through
-    the distinct-token dictionary: tokens are exploded with their position,
-    joined to the dictionary and re-assembled per document in position order."""
+    Native stemmers map the array in place.  Other stemmers, and a given
+    ``dictionary`` (token, stem; tokens not in it get no stem), go through a
+    table of the distinct tokens: tokens are exploded with their position,
+    joined to it and re-assembled per document in position order.  The tokens
+    that make up much of the text (4,096 at most, by their counts) meet their
+    stem where they are; only the others are shuffled by token."""
     require_columns(df, id_col, col)
-    if stemmer in NATIVE_STEMMERS:
+    if dictionary is None and stemmer in NATIVE_STEMMERS:
         return df.withColumn(out, T.stem_array(col, stemmer))
     dictionary = dictionary if dictionary is not None else stem_dictionary(df, stemmer, col)
     exploded = df.select(id_col, F.posexplode(col).alias("pos", "token"))
-    stems = (exploded.join(dictionary, "token", "left")
+    weights = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    table = stage(dictionary.join(weights, "token"))
+    stems = (join_by_weight(exploded, table, "token", "_n", "left")
              .groupBy(id_col)
              .agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("_ps"))
              .select(id_col, F.col("_ps.stem").alias(out)))
@@ -112,10 +119,12 @@ def stemmed_text(df: DataFrame, col: str = "stems", out: str = "corpus_stemmed")
 
 def ngram_counts(df: DataFrame, col: str = "tokens", n_min: int = 1, n_max: int = 3,
                  id_col: str = "doc_id") -> DataFrame:
-    """Corpus-wide n-gram counts ``(n, gram, cnt, n_docs)``."""
-    g = df.select(id_col, F.explode(T.ngrams(col, n_min, n_max)).alias("gram"))
-    return (g.groupBy("gram")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.countDistinct(id_col).alias("n_docs"))
+    """Corpus-wide n-gram counts ``(n, gram, cnt, n_docs)``; a row of
+    ``df`` is a document.  A document's n-grams are counted in its row, so
+    that one sum gives both counts."""
+    g = df.select(F.explode(T.counted_items(T.ngrams(col, n_min, n_max))).alias("g"))
+    return (g.groupBy(F.col("g.item").alias("gram"))
+            .agg(F.sum("g.n").alias("cnt"), F.count(F.lit(1)).alias("n_docs"))
             .withColumn("n", T.phrase_words("gram")))
 
 

@@ -27,11 +27,13 @@ def prepare(docs: DataFrame, text_cols: Sequence[str], stemmer: str = "s", remov
     """A corpus table -> ``(doc_id, corpus, tokens, n_words, stems)``, one row
     per document; ids keep their type.
 
-    The raw rows are dealt out by id first: everything that follows is work
-    per byte of text, a file's row group can't be split by the scan, and long
-    documents stand together in files.  The session's shuffle partitions say
-    how many parts there are."""
-    docs = TX.build_corpus(docs.repartition(id_col), text_cols, id_col, remove=remove, to_space=to_space)
+    Rows are worked on where they are read.  Only where the scan has fewer
+    tasks than the session's shuffles (a few files with large row groups) are
+    the raw rows dealt out by id first."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if docs.rdd.getNumPartitions() < tasks:
+        docs = docs.repartition(id_col)
+    docs = TX.build_corpus(docs, text_cols, id_col, remove=remove, to_space=to_space)
     docs = TX.tokenize(docs).withColumn("n_words", T.word_count("corpus"))
     return TX.stem_tokens(docs.select(F.col(id_col).alias("doc_id"), "corpus", "tokens", "n_words"), stemmer)
 

@@ -465,6 +465,14 @@ def q_stemmed_text(f):
     return TX.stemmed_text(f.docs).select("doc_id", "corpus_stemmed")
 
 
+def q_stem_given(f):
+    """B4 and B6 with a dictionary of the caller's: here, tokens without a
+    common ending."""
+    words = f.docs.select(F.explode("tokens").alias("token")).distinct()
+    given = words.select("token", F.regexp_replace("token", "(tion|ing|ed|ly|s)$", "").alias("stem"))
+    return TX.stemmed_text(TX.stem_tokens(f.docs.select("doc_id", "tokens"), "given", dictionary=given)).select("doc_id", "corpus_stemmed")
+
+
 def q_last_rows(spark, sf):
     return TX.last_rows(read(spark, sf, "documents"), ["n_chars", "doc_id"], 100).select("doc_id", "n_chars")
 
@@ -729,7 +737,7 @@ FLOW: dict[str, Callable[[CorpusFlow], DataFrame]] = {
     "stemmed_text": q_stemmed_text, "top_by": q_top_by, "freq_filter_count": q_freq_filter_count,
     "cc_ratio_token": q_cc_ratio_token, "corr_filter_both": q_corr_filter_both, "feat_tf_l1": q_feat_tf_l1,
     "feat_count_docs": q_feat_count_docs, "svd_trace": q_svd_trace, "lsa_norms": q_lsa_norms,
-    "themes_wide": q_themes_wide,
+    "themes_wide": q_themes_wide, "stem_given": q_stem_given,
 }
 
 
@@ -779,6 +787,8 @@ SELECT n, gram, count(*) AS cnt, count(DISTINCT doc_id) AS n_docs FROM (
   WHERE g.i + kk.k - 1 <= len(g.tokens)) GROUP BY n, gram"""
     o["stem_s"] = C(all_docs) + (f"SELECT token, {S.s_stem('token')} AS stem FROM "
                                  f"(SELECT DISTINCT unnest({S.tokens('corpus')}) AS token FROM adocs)")
+    o["stem_given"] = C(*base) + ("SELECT doc_id, array_to_string(list_transform(tokens, lambda t: regexp_replace(t, '(tion|ing|ed|ly|s)$', '')), ' ') "
+                                  "AS corpus_stemmed FROM ds")
     o["word_vocab"] = C(*base, S.WORD_VOCAB) + "SELECT phrase, first_doc, first_pos FROM wv"
     o["rake_phrases"] = C(*base, S.rake_ctes()) + "SELECT doc_id, phrase, round(score, 6) AS score, first_pos FROM rp"
     o["vocab_union_first"] = C(*vocab) + (
