@@ -25,19 +25,40 @@ WINDOW = 10
 #: as many one in fourteen.  Those are dropped by the verification.
 BIT_ROWS = 1 << 20
 
+#: A text is worked on in pieces of so many windows, so that what is held
+#: beside a window does not grow with the text.
+PIECE = 128
+
 
 def words(text: str | Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text_or_empty(text)), F.lit(TOKEN), F.lit(0))
 
 
-def _window_hashes(held: Column, n: int | Column) -> Column:
-    """A hash per run of n words, by the position of its first word."""
+def _window_hashes(held: Column, n: int | Column, most: int | None = None) -> Column:
+    """A hash per run of n words, by the position of its first word (the
+    first ``most`` of them)."""
     n = F.lit(n) if isinstance(n, int) else n
+    last = lambda h: F.size(h) - n + 1 if most is None else F.least(F.size(h) - n + 1, F.lit(most))
     return F.transform(F.array(F.transform(held, lambda w: F.xxhash64(w))), lambda h: F.when(
-        F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n))))
+        F.size(h) >= n, F.transform(F.sequence(F.lit(1), last(h)), lambda i: F.xxhash64(F.slice(h, i, n))))
         .otherwise(F.array().cast("array<bigint>")))[0]
 
 
+def _pieces(w: Column, longest: int, doc: Column) -> Column:
+    """The words of a text as structs: first one with the number of words and
+    ``doc``, then pieces of PIECE words and the ``longest`` - 1 after them,
+    with the position of their first."""
+    none = F.lit(None).cast("int")
+    head = lambda held: F.struct(none.alias("first"), F.size(held).cast("long").alias("n_words"), doc.alias("doc"),
+                                 F.array().cast("array<string>").alias("w"))
+    piece = lambda held: lambda k: F.struct(
+        (k * PIECE).cast("int").alias("first"), F.lit(None).cast("long").alias("n_words"),
+        F.when(F.lit(False), doc).alias("doc"), F.slice(held, k * PIECE + 1, F.lit(PIECE + longest - 1)).alias("w"))
+    return F.transform(F.array(w), lambda held: F.concat(F.array(head(held)), F.when(
+        F.size(held) > 0, F.transform(F.sequence(F.lit(0), ((F.size(held) - 1) / PIECE).cast("int")), piece(held)))
+        .otherwise(F.slice(F.array(piece(held)(F.lit(0))), 1, 0))))[0]
+
+
 def _bit(h: Column, shift: int) -> Column:
     """One of 64 bits, from six bits of the hash."""
     return F.call_function("shiftleft", F.lit(1).cast("long"),
@@ -74,24 +95,26 @@ def candidates(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text
     rows = 1 << max(0, min(bit_rows, sum(r["count"] for r in size)) - 1).bit_length()
     slot = lambda h: h.bitwiseAND(F.lit(rows - 1))
     table = windows.groupBy(slot(F.col("h")).alias("slot")).agg(F.bit_or(_both_bits(F.col("h"))).alias("mask"))
-    whole = [F.struct(*[F.col(c) for c in docs.columns]).alias("doc")] if carry else []
-    held = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *whole,
-                       words(text_col).alias("w"))
-    # the row's own mark comes first, then its windows length by length
-    marks = F.concat(F.array(F.lit(None).cast("bigint")), *[_window_hashes(F.col("w"), n) for n in lengths])
-    each = held.withColumn("hashes", marks).select("row", "doc_id", *(["doc"] if carry else []), "w",
-                                                   F.posexplode("hashes").alias("pos", "h"))
+    doc = F.struct(*[F.col(c) for c in docs.columns]) if carry else F.lit(None).cast("int")
+    pieces = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                         _pieces(words(text_col), max(lengths, default=1), doc).alias("pieces"))
+    pieces = pieces.select("row", "doc_id", F.explode("pieces").alias("piece"))
+    # a piece's own mark comes first, then its windows length by length
+    marks = F.concat(F.array(F.lit(None).cast("bigint")), *[_window_hashes(F.col("piece.w"), n, PIECE) for n in lengths])
+    each = pieces.select("row", "doc_id", "piece", F.posexplode(marks).alias("pos", "h"))
+    head = F.col("piece.first").isNull()
     met = (each.withColumn("slot", slot(F.col("h"))).join(F.broadcast(table), "slot", "left")
-           .where((F.col("pos") == 0) | (F.col("mask").bitwiseAND(_both_bits(F.col("h"))) == _both_bits(F.col("h")))))
-    total, at, n = F.size("w"), F.lit(None).cast("int"), F.lit(None).cast("int")
-    before = F.lit(1)
+           .where((head & (F.col("pos") == 0)) | (F.col("mask").bitwiseAND(_both_bits(F.col("h"))) == _both_bits(F.col("h")))))
+    at, n, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
     for length in lengths:
-        here = (F.col("pos") >= before) & (F.col("pos") < before + F.greatest(total - length + 1, F.lit(0)))
+        windows_here = F.least(F.greatest(F.size("piece.w") - length + 1, F.lit(0)), F.lit(PIECE))
+        here = (F.col("pos") >= before) & (F.col("pos") < before + windows_here)
         at, n = F.when(here, F.col("pos") - before).otherwise(at), F.when(here, F.lit(length)).otherwise(n)
-        before = before + F.greatest(total - length + 1, F.lit(0))
-    first = [F.when(F.col("pos") == 0, F.col("doc")).alias("doc")] if carry else []
-    return stage(met.select("row", "doc_id", *first, total.cast("long").alias("n_words"), at.alias("at"), n.alias("n"),
-                            F.when(F.col("pos") > 0, F.array_join(F.slice("w", at + 1, n), " ")).alias("window")))
+        before = before + windows_here
+    held = [F.col("piece.doc").alias("doc")] if carry else []
+    return stage(met.select("row", "doc_id", *held, F.col("piece.n_words").alias("n_words"),
+                            (F.col("piece.first") + at).alias("at"), n.alias("n"),
+                            F.when(~head, F.array_join(F.slice("piece.w", at + 1, n), " ")).alias("window")))
 
 
 def _covered(spans: Column) -> Column:

@@ -1,12 +1,13 @@
 """Personal data: patterns of entities, and terms that give an entity away.
 
 Information-theoretic sanitisation: the words around an entity are counted
-with it over the whole corpus, and all words of the corpus by themselves.  The
-share of a term's occurrences that stand beside an entity estimates how
-strongly the term reveals it, P(entity | term); against the share of documents
-that hold the entity it gives the information in bits.  Terms over the
-thresholds are generalised, the strongest removed, wherever in the corpus they
-stand."""
+with it over the whole corpus, and all words of the corpus by themselves.  What
+a word may give away is the entity, its neighbourhood (the domain of an email,
+the network of an address) or its kind.  The share of the word's occurrences
+that stand beside one of these, drawn towards the share of documents that hold
+it as if by PRIOR further occurrences, estimates P(entity | term); against that
+share of documents it gives the information in bits.  Terms over the thresholds
+are generalised, the strongest removed, wherever in the corpus they stand."""
 
 from __future__ import annotations
 
@@ -31,9 +32,9 @@ ADDED = "term"
 #: Code points on either side of an entity in which its terms stand.
 CONTEXT = 48
 TERM = r"\p{L}{3,}+"
-#: A term is evidence if it stands beside the entity in so many different texts,
-SUPPORT = 3
-#: is generalised from this share of its occurrences and information in bits,
+#: Occurrences by which a term's share is drawn towards the documents' share.
+PRIOR = 1.0
+#: A term is generalised from this share and information in bits,
 DISCLOSES, LEAST_BITS = 0.5, 2.0
 #: and removed from this share.
 REMOVES = 0.9
@@ -72,10 +73,15 @@ def base_spans(text: Column) -> Column:
     return in_order(match_spans(text, EMAIL, "email", 0), ip, card, phone)
 
 
-def entity_name(span: Column) -> Column:
-    """What stands for the entity in counts: kind and normalised value."""
-    value = F.when(span["kind"].isin("email", "ip"), F.lower(span["value"])).otherwise(_digits(span["value"]))
-    return F.concat(span["kind"], F.lit(":"), value)
+def entity_classes(span: Column) -> Column:
+    """What a word may reveal of an entity: kind and normalised value, the
+    kind, and the domain of an email or the first three parts of an address."""
+    kind = F.concat(span["kind"], F.lit(":"))
+    low = F.lower(span["value"])
+    named = lambda value, *more: F.array(F.concat(kind, value), kind, *more)
+    return (F.when(span["kind"] == "email", named(low, F.concat(kind, F.lit("@"), F.substring_index(low, "@", -1))))
+            .when(span["kind"] == "ip", named(low, F.concat(kind, F.substring_index(low, ".", 3), F.lit("."))))
+            .otherwise(named(_digits(span["value"]))))
 
 
 def context_terms(text: Column, span: Column) -> Column:
@@ -94,31 +100,32 @@ def _slot(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
-def _bit(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 58).cast("int")
+def _bits(word: Column) -> Column:
+    """Two of 64 bits, from twelve bits of the word's hash."""
+    h = F.xxhash64(word)
+    one = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"),
+                                        F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return one(58).bitwiseOR(one(52))
 
 
 def hash_bits(words: DataFrame) -> DataFrame:
-    """One row: ``bits``, an array of SLOTS longs with a bit set per word."""
-    # shiftleft takes a column of bits only in SQL
-    one = words.select(_slot(F.col("word")).alias("slot"), _bit(F.col("word")).alias("b")).withColumn("bit", F.expr("shiftleft(1L, b)"))
-    held = one.groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+    """One row: ``bits``, an array of SLOTS longs with two bits set per word."""
+    held = words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.bit_or(_bits(F.col("word"))).alias("mask"))
     every = words.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(held, "slot", "left")
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("mask", F.lit(0)).alias("mask")))),
                                  lambda r: r["mask"]).alias("bits"))
 
 
 def _may_hold(bits: Column, word: Column) -> Column:
-    """False only for words that have no bit set in the table."""
-    at = F.get(bits, _slot(word))
-    return F.call_function("getbit", at, _bit(word)) == 1
+    """False only for words whose bits are not both set in the table."""
+    return let(_bits(word), lambda b: F.get(bits, _slot(word)).bitwiseAND(b) == b)
 
 
 def occurrences(held: DataFrame, strong: DataFrame) -> DataFrame:
     """(row, term, share): every place outside base spans where a word of
     ``strong`` (word, all: its occurrences, share) stands in ``held``.  Words
-    without a bit in a table of fixed size are dropped in their row, so what
-    is shuffled grows with the revealing words and not with the corpus."""
+    whose bits aren't in a table of fixed size are dropped in their row, so
+    what is shuffled grows with the revealing words and not with the corpus."""
     total = strong.agg(F.sum("all")).first()[0] or 0
     marked = held.select("row", "text", "base").crossJoin(F.broadcast(hash_bits(strong)))
     text, bits = F.col("text"), F.col("bits")
@@ -130,41 +137,44 @@ def occurrences(held: DataFrame, strong: DataFrame) -> DataFrame:
         "share is not null")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR,
          discloses: float = DISCLOSES, least_bits: float = LEAST_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and added (arrays of spans in
-    order; added: terms that reveal an entity, wherever in the corpus they
-    stand, with the largest share of their occurrences beside one entity as
+    order; added: terms that reveal an entity, its neighbourhood or its kind,
+    wherever in the corpus they stand, with the largest such share as
     ``share``) and text_key (a hash of the text).
 
-    Copies of one text count as one in ``support``.  A term that lies within
-    a base span is left out.  Null and empty texts have no spans; null ids,
-    repeated rows and empty tables come out as they went in."""
+    With the default ``prior`` a word that stands once in the corpus, beside
+    an entity, has a share just above one half.  Copies of a text count as
+    often as they stand.  A term that lies within a base span is left out.
+    Null and empty texts have no spans; null ids, repeated rows and empty
+    tables come out as they went in."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                        text.alias("text"), base_spans(text).alias("base"))
     near = F.flatten(F.transform("base", lambda b: F.transform(
-        context_terms(F.col("text"), b), lambda t: F.struct(entity_name(b).alias("entity"), t.alias("term")))))
+        context_terms(F.col("text"), b), lambda t: F.struct(b.alias("entity"), t.alias("term")))))
     free = F.filter(near, lambda n: ~F.exists(
         "base", lambda b: (b["start"] < n["term"]["end"]) & (n["term"]["start"] < b["end"])))
     held = stage(rows.select("doc_id", "row", "text", F.xxhash64("text").alias("text_key"), "base", free.alias("near")))
 
-    beside = held.select("text_key", F.explode("near").alias("n")).select(
-        "text_key", "n.entity", F.lower("n.term.value").alias("word"),
-        F.concat_ws("\n", "n.entity", F.lower("n.term.value")).alias("pair"))
-    per_text = beside.groupBy("pair", "entity", "word", "text_key").agg(F.count("*").alias("n"))
-    pairs = per_text.groupBy("pair", "entity", "word").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(
-        F.col("texts") >= support)
+    beside = held.select(F.explode("near").alias("n")).select(
+        F.explode(entity_classes(F.col("n.entity"))).alias("class"), F.lower("n.term.value").alias("word"))
+    pairs = beside.groupBy("class", "word").agg(F.count("*").alias("n"))
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("word"))
     # partial counts per task are all that is shuffled of the corpus
     counted = words.groupBy("word").agg(F.count("*").alias("all"))
-    known = stage(pairs.join(counted, "word"))
-    holders = held.select("row", F.explode("base").alias("b")).select("row", entity_name(F.col("b")).alias("entity"))
-    spread = holders.distinct().groupBy("entity").agg(F.count("*").alias("rows"))
-    share = F.col("n") / F.col("all")
-    bits = F.log2(share * F.lit(float(max(held.count(), 1))) / F.col("rows"))
-    strong = stage(known.join(spread, "entity").where((share >= discloses) & (bits >= least_bits)).groupBy("word").agg(
-        F.max("all").alias("all"), F.max(F.least(share, F.lit(1.0))).alias("share")))
+    most = (F.col("n") + prior) / (F.col("all") + prior)
+    known = stage(pairs.join(counted, "word").where(most >= discloses))
+    entities = held.select("row", F.explode("base").alias("entity")).select("row", F.explode(entity_classes(F.col("entity"))).alias("class"))
+    classes = entities.distinct()
+    weights = known.groupBy("class").agg(F.count("*").alias("weight"))
+    spread = stage(classes.groupBy("class").agg(F.count("*").alias("rows")).join(weights, "class"))
+    whole = F.col("rows") / F.lit(float(max(held.count(), 1)))
+    share = (F.col("n") + prior * whole) / (F.col("all") + prior)
+    priced = lookup(known, spread, "class", "weight", known.count()).withColumn("share", share)
+    strong = stage(priced.where((F.col("share") >= discloses) & (F.log2(F.col("share") / whole) >= least_bits)).groupBy("word").agg(
+        F.max("all").alias("all"), F.max("share").alias("share")))
     added = occurrences(held, strong).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("term.start", "term.ord", "term.end", "term.kind", "term.value", "share"))).alias("added"))
     return held.join(added, "row", "left").select(
@@ -175,7 +185,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
 def sanitise(text: Column, base: Column, added: Column, removes: float = REMOVES) -> Column:
     """The text with entities replaced by their kind, revealing terms by
     [TERM], and terms from the share ``removes`` on removed.  Of spans that
-    overlap the first, then longest, is taken."""
+    overlap the first, then longest, is taken.  A null text stays null."""
     cuts = F.sort_array(F.concat(
         F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.concat(
             F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),

@@ -204,7 +204,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    """Entities, the words beside them and the corpus counts, in SQL."""
+    """Entities, what words beside them may reveal, the corpus counts, and all
+    places of the revealing words, in SQL."""
     kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
              ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
     size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)::BIGINT"
@@ -220,25 +221,31 @@ base AS (SELECT *, kind || ':' || CASE WHEN ord < 2 THEN lower(value) ELSE digit
                 OR coalesce(try_cast(ltrim(q, '0') AS INTEGER), 0) > {pii.IP_MOST})) = 0
            OR kind = 'card' AND length(digits) BETWEEN {pii.CARD_DIGITS[0]} AND {pii.CARD_DIGITS[1]} AND {luhn}
            OR kind = 'phone' AND length(digits) BETWEEN {pii.PHONE_DIGITS[0]} AND {pii.PHONE_DIGITS[1]}),
-around AS (SELECT b.doc_id, entity, greatest(b.start - {near}, 0) AS origin, greatest(b.start - {near}, 0) AS low, NULL::BIGINT AS high,
+held AS (SELECT *, CASE ord WHEN 0 THEN [entity, kind || ':', kind || ':@' || lower(split_part(value, '@', 2))]
+           WHEN 1 THEN [entity, kind || ':', kind || ':' || regexp_extract(value, '^[0-9]+[.][0-9]+[.][0-9]+[.]')] ELSE [entity, kind || ':'] END AS classes FROM base),
+around AS (SELECT b.doc_id, classes, greatest(b.start - {near}, 0) AS origin, greatest(b.start - {near}, 0) AS low, NULL::BIGINT AS high,
                   substr(t, greatest(b.start - {near}, 0) + 1, b.start - greatest(b.start - {near}, 0)) AS s
-           FROM base b JOIN d USING (doc_id)
-           UNION ALL SELECT b.doc_id, entity, b.stop, NULL, CASE WHEN length(t) > b.stop + {near} THEN b.stop + {near} END,
-                  substr(t, b.stop + 1, {near}) FROM base b JOIN d USING (doc_id)),
+           FROM held b JOIN d USING (doc_id)
+           UNION ALL SELECT b.doc_id, classes, b.stop, NULL, CASE WHEN length(t) > b.stop + {near} THEN b.stop + {near} END,
+                  substr(t, b.stop + 1, {near}) FROM held b JOIN d USING (doc_id)),
 pieces AS (SELECT *, regexp_extract_all(s, '{term}') AS m, string_split_regex(s, '{term}') AS p FROM around),
 each AS (SELECT *, unnest(range(len(m))) AS i FROM pieces),
-terms AS (SELECT doc_id, entity, lower(m[i + 1]) AS word, origin + {size('p[1:i + 1]')} + {size('m[1:i]')} AS start,
+terms AS (SELECT doc_id, classes, lower(m[i + 1]) AS word, origin + {size('p[1:i + 1]')} + {size('m[1:i]')} AS start,
                  origin + {size('p[1:i + 1]')} + {size('m[1:i + 1]')} AS stop, low, high FROM each),
-beside AS (SELECT doc_id, entity, word, start, stop FROM terms e
+beside AS (SELECT unnest(classes) AS class, word FROM terms e
            WHERE (low IS NULL OR low = 0 OR start > low) AND (high IS NULL OR stop < high)
              AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
-pairs AS (SELECT entity, word, count(*) AS n FROM beside JOIN d USING (doc_id) GROUP BY entity, word HAVING count(DISTINCT t) >= {pii.SUPPORT}),
+pairs AS (SELECT class, word, count(*) AS n FROM beside GROUP BY class, word),
 words AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(t), '{term}')) AS word FROM d) GROUP BY word),
-holders AS (SELECT entity, count(DISTINCT doc_id) AS n FROM base GROUP BY entity),
-strong AS (SELECT entity, word FROM pairs JOIN words USING (word) JOIN holders h USING (entity)
-           WHERE pairs.n / words.n >= {pii.DISCLOSES} AND log2(pairs.n / words.n * (SELECT count(*) FROM d) / h.n) >= {pii.LEAST_BITS}),
+holders AS (SELECT class, count(DISTINCT doc_id) / (SELECT count(*) FROM d) AS whole FROM (SELECT doc_id, unnest(classes) AS class FROM held) GROUP BY class),
+shares AS (SELECT word, whole, (pairs.n + {pii.PRIOR} * whole) / (words.n + {pii.PRIOR}) AS share FROM pairs JOIN words USING (word) JOIN holders USING (class)),
+strong AS (SELECT word, max(share) AS share FROM shares WHERE share >= {pii.DISCLOSES} AND log2(share / whole) >= {pii.LEAST_BITS} GROUP BY word),
+texts AS (SELECT doc_id, regexp_extract_all(t, '{term}') AS m, string_split_regex(t, '{term}') AS p FROM d),
+met AS (SELECT doc_id, m, p, i FROM (SELECT *, unnest(range(len(m))) AS i FROM texts) JOIN strong ON word = lower(m[i + 1])),
+places AS (SELECT doc_id, {size('p[1:i + 1]')} + {size('m[1:i]')} AS start, {size('p[1:i + 1]')} + {size('m[1:i + 1]')} AS stop FROM met),
+added AS (SELECT * FROM places e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
 s AS (SELECT doc_id, ord, kind, start, stop FROM base
-      UNION ALL SELECT DISTINCT doc_id, {len(pii.KINDS)}, '{pii.ADDED}', start, stop FROM beside JOIN strong USING (entity, word)),
+      UNION ALL SELECT doc_id, {len(pii.KINDS)}, '{pii.ADDED}', start, stop FROM added),
 g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)},
              {SPANS.format(" FILTER (ord < 4)")} AS base, {SPANS.format("")} AS spans FROM s GROUP BY doc_id)
 SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256,

@@ -59,7 +59,7 @@ ITEMS = [
 TEXTS = awkward() + [
     (20, "Before. " + PASSAGE.replace(" ", ",\n") + " - after"), (21, " ".join(PASSAGE.split()[:9])), (22, " ".join(PASSAGE.split()[3:14])),
     (23, "a two  words, TWO-WORDS two words"), (24, prose(9, 11)), (25, "ünïcödé 😀 x"), (26, prose(10, 40) + " " + PASSAGE),
-    (26, prose(10, 40) + " " + PASSAGE), (27, (PASSAGE + " ") * 40), (None, PASSAGE),
+    (26, prose(10, 40) + " " + PASSAGE), (27, (PASSAGE + " ") * 40), (None, PASSAGE), (28, (PASSAGE + " ") * 150),
 ]
 
 
@@ -67,8 +67,9 @@ def bench(spark, items):
     return spark.createDataFrame([(*i, "a") for i in items], "item_id long, text string, doc_id string")
 
 
-@pytest.mark.parametrize("bit_rows", [1, 1 << 20])
-def test_find(spark, bit_rows):
+@pytest.mark.parametrize(("bit_rows", "piece"), [(1, 128), (1 << 20, 128), (1 << 20, 7)])
+def test_find(spark, monkeypatch, bit_rows, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     docs = frame(spark, TEXTS).selectExpr("*", "'a' AS row", "1 AS w", "2 AS window")
     got = decontaminate.find(docs, bench(spark, ITEMS), bit_rows=bit_rows).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])

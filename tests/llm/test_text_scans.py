@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,46 +100,91 @@ PII = [
 def test_personal_data(spark):
     rows = awkward() + [(100 + i, t) for i, t in enumerate(PII)]
     got = pii.digest(pii.find(frame(spark, rows).selectExpr("*", "1 AS row", "2 AS base"))).collect()
-    want = [(r[0], *n, sha(base), base) for r in rows for n, base in [plain_pii(r[1])]]
+    _, added = plain_terms(rows)
+    order = {k: i for i, k in enumerate([*pii.KINDS, pii.ADDED])}
+
+    def every(base, terms):
+        found = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in base.split(",") if x] + [(pii.ADDED, *t) for t in terms]
+        return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda x: (x[1], order[x[0]])))
+
+    want = [(r[0], *n, sha(base), every(base, terms)) for r, (_, terms) in zip(rows, added, strict=True) for n, base in [plain_pii(r[1])]]
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert pii.find(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_disclosing_terms(spark):
-    """A word that stands beside one address only gives it away; a word that
-    stands everywhere, one in too few texts or one in a copy don't."""
-    rows = [(i, f"zz{i} the wizardword at owner@hidden.example the end {prose(i, 30)}") for i in range(5)]
-    rows += [(20 + i, f"the contact number {prose(50 + i, 20)} the other the") for i in range(30)]
-    rows += [(80, "rareword x@y.zz then"), (81, "rareword x@y.zz then"), (82, "rareword x@y.zz then"), (83, "rareword x@y.zz then")]
-    got = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
-    terms = {s.value for r in got.values() for s in r.added}
-    assert "wizardword" in terms and "the" not in terms and "rareword" not in terms
-    assert all(not got[i].added for i in range(20, 50))
-    docs = frame(spark, rows[:1])
-    found = pii.find(frame(spark, rows)).where("doc_id = 0")
-    out = docs.join(found, "doc_id").select(pii.sanitise(F.col("text"), F.col("base"), F.col("added")).alias("t")).first().t
-    assert "wizardword" not in out and "hidden.example" not in out and "[EMAIL]" in out and out.startswith("zz0 the ")
-
-
-def test_disclosing_terms_far_from_the_entity(spark):
-    """A revealing word is marked further on in the text, in other texts and
-    in capitals, but not within an entity."""
+def plain_terms(rows):
+    """The places of revealing terms per row, by counting everything."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    beside, everywhere, holders, held = Counter(), Counter(), Counter(), []
+    for doc_id, t, *_ in rows:
+        t = t or ""
+        found = [(int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in plain_pii(t)[1].split(",") if x]
+        own, free = set(), lambda a, b, found=found: not any(x < b and a < y for x, y, _ in found)
+        everywhere.update(m[0].lower() for m in word.finditer(t))
+        for a, b, kind in found:
+            value = t[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", t[a:b])
+            classes = [f"{kind}:{value}", f"{kind}:"]
+            classes += [f"email:@{value.split('@')[1]}"] if kind == "email" else [f"ip:{'.'.join(value.split('.')[:3])}."] if kind == "ip" else []
+            own.update(classes)
+            low, high = max(a - pii.CONTEXT, 0), b + pii.CONTEXT
+            near = [(m.start() + low, m.end() + low) for m in word.finditer(t[low:a]) if m.start() + low > low or low == 0]
+            near += [(m.start() + b, m.end() + b) for m in word.finditer(t[b:high]) if m.end() + b < high or len(t) <= high]
+            beside.update((c, t[x:y].lower()) for x, y in near if free(x, y) for c in classes)
+        holders.update(own)
+        held.append((doc_id, t, free))
+    strong = set()
+    for (c, w), n in beside.items():
+        whole = holders[c] / len(rows)
+        share = (n + pii.PRIOR * whole) / (everywhere[w] + pii.PRIOR)
+        if share >= pii.DISCLOSES and math.log2(share / whole) >= pii.LEAST_BITS:
+            strong.add(w)
+    return strong, [(i, sorted((m.start(), m.end()) for m in word.finditer(t) if m[0].lower() in strong and free(m.start(), m.end())))
+                    for i, t, free in held]
+
+
+def term_rows():
+    """Words beside one address in one, two and five texts, beside addresses of
+    one domain, of one network, beside phones of all sorts; words that stand
+    everywhere; revealing words far off, in capitals and within an entity."""
     far = "x " * 60
-    rows = [(i, f"zz{i} wizardword at owner@hidden.example {prose(i, 30)}") for i in range(5)]
-    rows[0] = (0, rows[0][1] + " " + far + "wizardword zz")
-    rows += [(7, f"😀 {far}WizardWord 1"), (8, "wizardword@else.example"), (9, "wizardwords " + far), (None, None)]
-    rows += [(20 + i, prose(50 + i, 20)) for i in range(30)]
-    docs = frame(spark, rows).withColumn("bits", F.lit("b"))
+    rows = [(i, f"zz{i} the wizardword at owner@hidden.example the end {prose(i, 30)}") for i in range(5)]
+    rows += [(5, f"once singular me@one.example then {far}"), (6, "😀 " + far + "WizardWord 1"), (7, "wizardword@else.example"), (8, "wizardwords " + far)]
+    rows += [(10 + i, f"acmecorp p{i}@acme.example {far}") for i in range(4)] + [(14, f"{far} acmecorp {far}")]
+    rows += [(15 + i, f"server rackname 10.1.2.{i} {far}") for i in range(3)]
+    rows += [(20 + i, f"telephone: +1 (2) 345-678{i}0 the {far}") for i in range(5)]
+    rows += [(30 + i, f"the contact number {prose(50 + i, 20)} the other the") for i in range(60)]
+    rows += [(100, "rareword x@y.zz then"), (101, "rareword x@y.zz then"), (None, None), (None, "wizardword"), (102, "")]
+    return rows
+
+
+def test_disclosing_terms_equal_the_plain_count(spark, monkeypatch):
+    rows = term_rows()
+    strong, want = plain_terms(rows)
+    assert {"wizardword", "singular", "acmecorp", "rackname", "telephone", "rareword"} <= strong and not {"the", "contact", "number"} & strong
+    for slots in (pii.SLOTS, 1):
+        monkeypatch.setattr(pii, "SLOTS", slots)
+        got = pii.find(frame(spark, rows).withColumn("bits", F.lit("b"))).collect()
+        key = lambda x: (x[0] is None, x[0] or 0, x[1])
+        assert sorted(((r.doc_id, sorted((s.start, s.end) for s in r.added)) for r in got), key=key) == sorted(want, key=key)
+    spans_of = {r.doc_id: {s.value for s in r.added} for r in got}
+    assert spans_of[6] == {"WizardWord"} and not spans_of[7] and "acmecorp" in spans_of[14]
+
+
+def test_sanitise(spark):
+    docs = frame(spark, [r for r in term_rows() if r[0] is not None])
     found = pii.find(docs)
-    text = dict(rows)
-    got = {r.doc_id: [(s.start, s.end, s.value) for s in r.added if s.value.lower() == "wizardword"] for r in found.collect()}
-    for i in [0, 1, 2, 3, 4, 7]:
-        assert got[i] == [(m.start(), m.end(), m[0]) for m in re.finditer("(?i)wizardword", text[i])]
-    assert not got[8] and not got[9] and not got[None]
-    assert len(got[0]) == 2
-    out = docs.where("doc_id in (0, 7)").join(found, "doc_id").select(pii.sanitise(F.col("text"), F.col("base"), F.col("added")).alias("t"))
-    assert not any("wizardword" in r.t.lower() for r in out.collect())
+    out = {r.doc_id: r.t for r in docs.join(found, "doc_id").select(
+        "doc_id", pii.sanitise(F.col("text"), F.col("base"), F.col("added")).alias("t")).collect()}
+    assert not any(w in (t or "").lower() for t in out.values() for w in ("wizardword ", "hidden.example", "acmecorp", "singular"))
+    assert "[EMAIL]" in out[0] and out[0].startswith("[TERM]") is False and "the" in out[0] and out[102] == ""
+    null = frame(spark, [(1, None)])
+    assert null.join(pii.find(null), "doc_id").select(pii.sanitise(F.col("text"), F.col("base"), F.col("added")).alias("t")).first().t is None
+
+
+def test_no_terms_without_entities(spark):
+    got = pii.find(frame(spark, [(i, prose(i, 30)) for i in range(5)])).collect()
+    assert len(got) == 5 and not any(r.added or r.base for r in got)
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 700])
