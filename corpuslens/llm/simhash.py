@@ -56,13 +56,14 @@ def shingle_hashes(text: str | Column, words: int = SHINGLE_WORDS) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words: int = SHINGLE_WORDS) -> DataFrame:
-    """Rows (doc_id, fp): fp is the fingerprint as a signed long.
+                 words: int = SHINGLE_WORDS, row_col: str | None = None) -> DataFrame:
+    """Rows (doc_id, fp): fp is the fingerprint as a signed long.  With
+    ``row_col``, a column that numbers the rows, (doc_id, fp, row).
 
     Shingles are summed 64 bits at a time, two counters of 32 bits in a long,
     so a document may have up to 2**31 shingles."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.monotonically_increasing_id().alias("_row"),
+                       (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("_row"),
                        shingle_hashes(text_col, words).alias("_hashes"))
     each = rows.select("doc_id", "_row", F.explode_outer("_hashes").alias("_h"))
     lanes = F.lit((1 << 32) + 1)
@@ -75,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for count, bit in ((F.col(f"_s{j}").bitwiseAND(low), j),
                            (F.shiftrightunsigned(f"_s{j}", 32), j + 32)):
             fp = fp.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit(_signed(1 << bit))).otherwise(0))
-    return sums.select("doc_id", fp.alias("fp"))
+    return sums.select("doc_id", fp.alias("fp"), *([] if row_col is None else [F.col("_row").alias("row")]))
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -140,11 +141,24 @@ def fingerprint_hex(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with
-    their columns; rows with a null id can't be named by a group and stay."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    held = stage(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id")).distinct())
-    named = docs.where(F.col(id_col).isNotNull()).join(
-        held, F.col(id_col).cast("long") == F.col("__keep_id"), "left_semi")
-    return named.unionAll(docs.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
+             radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that of the
+    smallest id, null last; of rows that share it, that of the smallest
+    fingerprint, then any one.
+
+    Rows are numbered once and the decision is by number, so rows that share an
+    id are told apart and repeated rows come out once.  Empty tables give none."""
+    row = next(f"__row{i}" for i in range(len(docs.columns) + 1) if f"__row{i}" not in docs.columns)
+    keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    prints = stage(fingerprints(keyed, id_col, text_col, words, row))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "row"))
+    groups = stage(prints.groupBy("fp").agg(best.alias("best"), F.count("*").alias("n")))
+    roots = stage(connected_components(links(groups.select("fp"), radius)))
+    placed = stage(groups.join(roots, groups.fp == roots.node, "left").select(
+        "fp", "best", "n", F.coalesce("root", "fp").alias("root")))
+    top = stage(placed.groupBy("root").agg(F.min("best").alias("stays"), F.count("*").alias("members")))
+    named = stage(lookup(placed.select("fp", "n", "root"), top, "root", "members", placed.count()).select(
+        "fp", "n", F.col("stays.row").alias("stays")))
+    gone = lookup(prints, named, "fp", "n", prints.count()).where("row <> stays").select(F.col("row").alias(row))
+    return keyed.join(gone, row, "left_anti").select(*[F.col(c) for c in docs.columns])
