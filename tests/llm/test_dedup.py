@@ -139,7 +139,7 @@ def plain_kept(rows):
     for i, p in prints:
         key = (i is None, i or 0, signed(p))
         best[group[p]] = min(best.get(group[p], key), key)
-    return sorted((None if unnamed else i, p) for unnamed, i, p in best.values())
+    return [(None if unnamed else i, p) for unnamed, i, p in best.values()]
 
 
 @pytest.mark.parametrize("rows", [awkward(), [
