@@ -60,24 +60,43 @@ SPANS = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY s
 
 def _op3_sql() -> str:
     """The scan with patterns that need no look-behind: the matches of whole
-    rows of like characters, held to their least length."""
+    rows of like characters, held to their least length.  Cut strings are
+    spelt out character by character, with spaces for what is cut."""
     either = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     assign = rf"""(?:{either})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
     value = assign.replace("[A-Za-z0-9+/_.=-]+", "([A-Za-z0-9+/_.=-]+)").replace("'", "''")
-    allow = [a.replace("*+", "*") for a in secrets.ALLOW]
-    allowed = " OR ".join(f"regexp_full_match(value, '{a}')" for a in allow)
+    words = f"'{secrets.ALLOW[-1]}'"
+    allowed = " OR ".join(f"regexp_full_match(value, '{a.replace('*+', '*')}')" for a in secrets.ALLOW[:-1])
     bits = " ".join(f"WHEN regexp_full_match(value, '{c.pattern}') THEN {c.bits}" for c in secrets.CLASSES)
-    w = secrets.WINDOW
+    w, run, part = secrets.WINDOW, "[A-Za-z0-9+/=_-]+", "[A-Za-z0-9+]+"
+    pieces = lambda m, of, more: f"""SELECT {more}, m[i + 1] AS value,
+             coalesce(list_sum(list_transform(p[1:i + 1] || m[1:i], lambda y: length(y))), 0)::BIGINT AS behind
+      FROM (SELECT *, unnest(range(len(m))) AS i FROM (SELECT *, regexp_extract_all({of}, '{m}') AS m, string_split_regex({of}, '{m}') AS p FROM"""
     return f"""
-WITH {_matches([("assign", assign), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), (secrets.ADDED, "[A-Za-z0-9+/=_-]+")])},
+WITH {_matches([("assign", assign), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), (secrets.ADDED, run)])},
 base AS (SELECT * FROM x WHERE kind = 'assign' AND length(regexp_extract(value, '{value}', 1)) >= {secrets.ASSIGN_LEAST}
          OR kind = 'access' AND length(value) >= 20 OR kind = 'hex' AND length(value) >= 24),
-c AS (SELECT *, CASE {bits} END AS bits FROM x WHERE kind = '{secrets.ADDED}' AND length(value) >= {w} AND NOT ({allowed})),
-h AS (SELECT doc_id, ord, kind, start, list_filter(range(length(value) - {w - 1}), lambda i:
-             list_aggregate(string_split(substr(value, (i + 1)::BIGINT, {w}), ''), 'entropy') >= bits) AS hot FROM c),
-a AS (SELECT doc_id, ord, kind, start + hot[1] AS start, start + hot[-1] + {w} AS stop FROM h WHERE len(hot) > 0),
+r AS (SELECT row_number() OVER () AS rid, doc_id, value AS whole, start, stop FROM x
+      WHERE kind = '{secrets.ADDED}' AND length(value) >= {w} AND NOT ({allowed})),
+seg AS ({pieces(part, "whole", "rid")} r))),
+cut AS (SELECT rid, list(struct_pack(a := a, b := b)) AS cuts FROM (
+          SELECT rid, behind AS a, behind + length(value) AS b FROM seg WHERE regexp_full_match(value, {words})
+          UNION ALL SELECT r.rid, b.start - r.start, b.stop - r.start FROM r JOIN base b
+                    ON b.doc_id IS NOT DISTINCT FROM r.doc_id AND b.start < r.stop AND r.start < b.stop) GROUP BY rid),
+blank AS (SELECT doc_id, start, coalesce(whole, '') AS whole, cuts FROM r LEFT JOIN cut USING (rid)),
+left_over AS (SELECT doc_id, start, whole AS left_of FROM blank WHERE cuts IS NULL
+      UNION ALL SELECT doc_id, start, array_to_string(list_transform(range(length(whole)), lambda i:
+                CASE WHEN len(list_filter(cuts, lambda c: c.a <= i AND i < c.b)) > 0 THEN ' ' ELSE substr(whole, (i + 1)::BIGINT, 1) END), '')
+           FROM blank WHERE cuts IS NOT NULL),
+piece AS ({pieces(run, "left_of", "doc_id, start")} left_over))),
+c AS (SELECT row_number() OVER () AS pid, doc_id, start + behind AS start, value, CASE {bits} END AS bits FROM piece
+      WHERE length(value) >= {w} AND NOT ({allowed})),
+h AS (SELECT pid, doc_id, start, unnest(list_filter(range(length(value) - {w - 1}), lambda i:
+             list_aggregate(string_split(substr(value, (i + 1)::BIGINT, {w}), ''), 'entropy') >= bits)) AS hot FROM c),
+n AS (SELECT *, coalesce(hot - lag(hot) OVER (PARTITION BY pid ORDER BY hot) > {w}, true)::INTEGER AS begins FROM h),
+e AS (SELECT *, sum(begins) OVER (PARTITION BY pid ORDER BY hot) AS stretch FROM n),
 s AS (SELECT doc_id, ord, kind, start, stop FROM base
-      UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.start < a.stop AND a.start < b.stop)),
+      UNION ALL SELECT any_value(doc_id), {len(secrets.KINDS)}, '{secrets.ADDED}', min(start + hot), max(start + hot) + {w} FROM e GROUP BY pid, stretch),
 g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.KINDS)},
              {SPANS.format(" FILTER (ord < 3)")} AS base, {SPANS.format("")} AS spans FROM s GROUP BY doc_id)
 SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256,

@@ -71,14 +71,17 @@ def _weighted(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c)).otherwise(0.0)
 
 
-def hot_stretch(value: Column, one: CharClass, window: int = WINDOW) -> Column:
-    """struct(first, last): offsets in ``value`` where the first and behind
-    where the last window of at least ``one.bits`` stands; first is null if
-    there is none."""
+def hot_stretches(value: Column, one: CharClass, window: int = WINDOW) -> Column:
+    """Array of struct(first, last): where windows of at least ``one.bits``
+    stand in ``value``, offsets of the first and behind the last of a row of
+    such windows; windows that share or touch no character are two rows."""
     letter = lambda i: F.instr(F.lit(one.alphabet), F.substring(value, i + 1, F.lit(1)))  # noqa: E731  1-based
     count = lambda counts, k: F.get(counts, k - 1).cast("double")
+    kind = "array<struct<first:int,last:int>>"
     state = F.struct(F.array_repeat(F.lit(0), len(one.alphabet)).alias("counts"), F.lit(0.0).alias("total"),
-                     F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+                     F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
+                     F.array().cast(kind).alias("out"))
+    closed = lambda s: F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))))
 
     def move(s: Column, i: Column) -> Column:
         def with_letters(x: Column) -> Column:
@@ -90,17 +93,20 @@ def hot_stretch(value: Column, one: CharClass, window: int = WINDOW) -> Column:
                 up = _weighted(count(held, enters) + 1) - _weighted(count(held, enters))
                 total = s["total"] + down + up
                 hot = (i >= window - 1) & (F.lit(window).cast("double") * (F.log2(F.lit(float(window))) - one.bits) >= total)
+                start = i - (window - 1)
+                apart = hot & s["first"].isNotNull() & (start > s["last"])
                 return F.struct(
                     F.transform(held, lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0)).alias("counts"),
                     total.alias("total"),
-                    F.coalesce(s["first"], F.when(hot, i - (window - 1))).alias("first"),
-                    F.when(hot, i + 1).otherwise(s["last"]).alias("last"))
+                    F.when(hot & (s["first"].isNull() | apart), start).otherwise(s["first"]).alias("first"),
+                    F.when(hot, i + 1).otherwise(s["last"]).alias("last"),
+                    F.when(apart, closed(s)).otherwise(s["out"]).alias("out"))
             return let(less, after)
         leaves = F.when(i >= window, letter(i - window)).otherwise(0)
         return let(F.struct(letter(i).alias("enters"), leaves.alias("leaves")), with_letters)
 
     return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), state, move,
-                       lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+                       lambda s: F.when(s["first"].isNull(), s["out"]).otherwise(closed(s)))
 
 
 def _blanked(run: Column, cuts: Column) -> Column:
@@ -134,15 +140,15 @@ def entropy_spans(text: Column, base: Column, classes: tuple[CharClass, ...] = C
     runs = F.filter(match_spans(text, CANDIDATE, ADDED, len(KINDS)), secret)
     found = F.filter(F.flatten(F.transform(runs, pieces)), secret)
 
-    def stretch(s: Column) -> Column:
-        hot = F.lit(None).cast("struct<first:int,last:int>")
+    def stretches(s: Column) -> Column:
+        hot = F.array().cast("array<struct<first:int,last:int>>")
         for one in reversed(classes):
-            hot = F.when(F.rlike(s["value"], F.lit(f"^(?:{one.pattern})$")), hot_stretch(s["value"], one, window)).otherwise(hot)
-        return let(hot, lambda h: F.struct(
+            hot = F.when(F.rlike(s["value"], F.lit(f"^(?:{one.pattern})$")), hot_stretches(s["value"], one, window)).otherwise(hot)
+        return F.transform(hot, lambda h: F.struct(
             (s["start"] + h["first"]).alias("start"), s["ord"].alias("ord"), (s["start"] + h["last"]).alias("end"),
             s["kind"].alias("kind"), F.substring(s["value"], h["first"] + 1, h["last"] - h["first"]).alias("value")))
 
-    return F.filter(F.transform(found, stretch), lambda s: s["start"].isNotNull())
+    return F.flatten(F.transform(found, stretches))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
