@@ -21,6 +21,7 @@ from corpuslens.operators import index as IX
 from corpuslens.operators import kmeans as KM
 from corpuslens.operators import rake as R
 from corpuslens.operators import search as E
+from corpuslens.operators import silhouette as SH
 from corpuslens.operators import sweeps as SW
 from corpuslens.operators import text as TX
 from corpuslens.operators import themes as TH
@@ -216,6 +217,18 @@ def q_silhouette(spark, sf):
         .select(r6("silhouette").alias("silhouette"))
 
 
+def q_silhouette_euclidean(spark, sf):
+    """F4 with the Euclidean distance, every vector against all others."""
+    out = SH.silhouette_points(read(spark, sf, "embeddings"), 1.0)
+    return out.select("vec_id", "label", r6("a").alias("a"), r6("b").alias("b"), r6("silhouette").alias("silhouette"))
+
+
+def q_silhouette_sampled(spark, sf):
+    """The mean over half of the vectors, in small blocks."""
+    return SH.silhouette_euclidean(read(spark, sf, "embeddings"), 0.5, 7, block=512).select(
+        r6("silhouette").alias("silhouette"), "n_points")
+
+
 def _label_params(e):
     p, labels = GM.params_from_labels(e, "label", "embedding", "diag")
     return p, labels
@@ -407,6 +420,67 @@ def q_xml_records(spark, sf):
                       _iso("publication_date"), "times_cited", "doi", "keywords_author")
 
 
+def _whole_records(spark, sf):
+    """``_record_structs`` with the fields that those leave out, from the same
+    tables: addresses, types, subjects, keywords, identifiers and paragraphs."""
+    o = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    key = F.col("o_orderkey")
+    named = lambda kind, value: F.struct(F.lit(kind).alias("_type"), value.alias("_value"))
+    subject = lambda kind, value: F.struct(F.lit(kind).alias("_ascatype"), value.alias("_VALUE"))
+    address = lambda x: F.struct(F.struct(x.alias("full_address")).alias("address_spec"))
+    more = o.select(
+        F.concat(F.lit("WOS:"), key.cast("string")).alias("_uid"),
+        F.array(address(F.concat_ws(", ", "c_name", "c_mktsegment")), address(F.concat(F.lit("Nation "), "c_nationkey"))).alias("addresses"),
+        F.when(key % 3 == 0, F.array(F.lit("Article"), F.lit("Review"))).otherwise(F.array(F.lit("Letter"))).alias("doctypes"),
+        F.array(subject("extended", F.col("c_mktsegment")), subject("traditional", F.col("o_orderstatus")),
+                subject("extended", F.col("o_orderpriority"))).alias("subjects"),
+        F.when(key % 2 == 0, F.array(F.col("c_mktsegment"), F.lit("plus"))).otherwise(F.array(F.lit("plus"))).alias("plus"),
+        F.array(named("issn", F.concat(F.lit("issn-"), "o_custkey")), named("doi", F.concat(F.lit("old/"), key.cast("string"))),
+                named("doi", F.concat(F.lit("10."), F.col("o_custkey").cast("string"), F.lit("/"), key.cast("string")))).alias("ids"),
+        F.array(F.concat(F.lit("Abstract of order "), key.cast("string")), F.lit("Second paragraph")).alias("abstract"),
+        F.when(key % 5 == 0, F.array(F.concat(F.lit("Fund "), "c_mktsegment"))).alias("fund"))
+    full = F.col("static_data.fullrecord_metadata")
+    static = F.struct(
+        F.col("static_data.summary").alias("summary"),
+        F.struct(F.struct(F.col("addresses").alias("address_name")).alias("addresses"),
+                 F.struct(F.col("doctypes").alias("doctype")).alias("normalized_doctypes"),
+                 F.struct(F.struct(F.col("subjects").alias("subject")).alias("subjects")).alias("category_info"),
+                 full["keywords"].alias("keywords"),
+                 F.struct(F.struct(F.struct(F.col("abstract").alias("p")).alias("abstract_text")).alias("abstract")).alias("abstracts"),
+                 F.when(F.col("fund").isNotNull(), F.struct(F.struct(F.col("fund").alias("p")).alias("fund_text"))).alias("fund_ack"))
+        .alias("fullrecord_metadata"),
+        F.struct(F.struct(F.col("plus").alias("keyword")).alias("keywords_plus")).alias("item"))
+    dynamic = F.struct(F.col("dynamic_data.citation_related").alias("citation_related"),
+                       F.struct(F.struct(F.col("ids").alias("identifier")).alias("identifiers")).alias("cluster_related"))
+    rec = _record_structs(spark, sf)
+    return rec.join(more, F.col("UID") == F.col("_uid")).select("UID", static.alias("static_data"), dynamic.alias("dynamic_data"))
+
+
+def q_xml_columns(spark, sf):
+    """A4: all nineteen columns of records landed as XML."""
+    from corpuslens.sources import xml as SX
+    path = new_path(spark, "xml-columns")
+    SX.write_records(_whole_records(spark, sf), path)
+    out = SX.project_records(SX.read_records(spark, path), flat=True)
+    return out.withColumn("publication_date", _iso("publication_date"))
+
+
+def q_xml_store(spark, sf):
+    """A7 in two merges: all records, then a page that brings every third
+    order again under another title."""
+    from corpuslens.sources import xml as SX
+    from corpuslens.sources.record_store import RecordStore
+    path = new_path(spark, "xml-store")
+    rec = _record_structs(spark, sf)
+    again = rec.where("cast(substring(UID, 5) AS long) % 3 = 0").withColumn("static_data", F.col("static_data").withField(
+        "summary.titles", F.struct(F.array(F.struct(F.lit("item").alias("_type"), F.concat(F.lit("Again "), "UID").alias("_VALUE"))).alias("title"))))
+    store = RecordStore(spark, f"{path}/store", 16)
+    for name, page in (("page1", rec), ("page2", again)):
+        SX.write_records(page, f"{path}/{name}")
+        store.merge(SX.read_records(spark, f"{path}/{name}"))
+    return SX.project_records(store.read(), flat=True).select("uid", "authors", "title", "source", "publication_year", "times_cited", "doi")
+
+
 def q_xpath_list(spark, sf):
     from corpuslens.sources import xml as SX
     rec = _record_structs(spark, sf)
@@ -425,6 +499,13 @@ def q_corpus_csv(spark, sf):
     return back.select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 
+def q_corpus_made_ids(spark, sf):
+    """A1 without an id column: most rows of source and language are equal."""
+    path = new_path(spark, "corpus-made-ids")
+    C.write_table(read(spark, sf, "documents").select("source", "lang"), path, "csv")
+    return C.read_corpus(spark, path, "csv", "source string, lang string", create_id=True, check_unique=True)
+
+
 def q_vocab_file(f):
     """A vocabulary written as CSV and read again."""
     path = new_path(f.spark, "vocabulary-csv")
@@ -569,6 +650,17 @@ def q_lsa_norms(f):
     return out.select("doc_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
+def q_lsa_project_given(f):
+    """G5's projection on given loadings: unit rows of X V, by component."""
+    from corpuslens.operators import svd as SV
+    n, _ = f.stats
+    n_topics = f.topics.count()
+    loadings = np.cos(np.arange(n_topics)[:, None] * 0.37 + np.arange(6) * 1.3)
+    rows = stage(SV.document_rows(G.tfidf_features(f.counts, n, "l2"), "doc_id", f.docs))
+    return SV.project(rows, loadings).select("doc_id", F.posexplode("features").alias("component", "value")).select(
+        "doc_id", "component", (r6("value") + F.lit(0.0)).alias("value"))
+
+
 def q_map_variance(spark, sf):
     """the coordinates have mean 0 and the first spreads no less than
     the second."""
@@ -724,6 +816,8 @@ PLAIN: dict[str, Query] = {
     "phrase_search_indexed": q_phrase_search_indexed, "retrieve_deep": q_retrieve_deep,
     "cited_refs_deep": q_cited_refs_deep, "sweep_inertia": q_sweep_inertia,
     "sweep_silhouette": q_sweep_silhouette, "sweep_scores": q_sweep_scores, "kmeans_bounded": q_kmeans_bounded,
+    "silhouette_euclidean": q_silhouette_euclidean, "silhouette_sampled": q_silhouette_sampled,
+    "xml_columns": q_xml_columns, "xml_store": q_xml_store, "corpus_made_ids": q_corpus_made_ids,
 }
 
 # these take the flow over the documents
@@ -737,6 +831,7 @@ FLOW: dict[str, Callable[[CorpusFlow], DataFrame]] = {
     "stemmed_text": q_stemmed_text, "top_by": q_top_by, "freq_filter_count": q_freq_filter_count,
     "cc_ratio_token": q_cc_ratio_token, "corr_filter_both": q_corr_filter_both, "feat_tf_l1": q_feat_tf_l1,
     "feat_count_docs": q_feat_count_docs, "svd_trace": q_svd_trace, "lsa_norms": q_lsa_norms,
+    "lsa_project_given": q_lsa_project_given,
     "themes_wide": q_themes_wide, "stem_given": q_stem_given,
 }
 
@@ -982,6 +1077,38 @@ SELECT 'WOS:' || o_orderkey AS uid, c.c_name AS authors, o_orderpriority AS titl
        coalesce(kw.tc, 0)::INTEGER AS times_cited, '10.' || o_custkey || '/' || o_orderkey AS doi,
        coalesce(kw.kw, '') AS keywords_author
 FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN kw ON kw.l_orderkey = o.o_orderkey"""
+    o["xml_columns"] = """
+WITH kw AS (SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY p_name) AS kw, count(*) AS tc
+            FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
+SELECT 'WOS:' || o_orderkey AS uid, c_name AS authors, upper(c_name) AS authors_wos,
+       c_name || ', ' || c_mktsegment || '; Nation ' || c_nationkey AS addresses, o_orderpriority AS title, o_orderstatus AS source,
+       'Journal' AS publication_type, CASE WHEN o_orderkey % 3 = 0 THEN 'Article; Review' ELSE 'Letter' END AS normalized_type,
+       year(o_orderdate)::INTEGER AS publication_year, strftime(o_orderdate, '%Y-%m-%d') AS publication_date,
+       c_mktsegment || '; ' || o_orderpriority AS category_research, o_orderstatus AS category_wos,
+       coalesce(kw.kw, '') AS keywords_author, CASE WHEN o_orderkey % 2 = 0 THEN c_mktsegment || '; plus' ELSE 'plus' END AS keywords_plus,
+       coalesce(kw.tc, 0)::INTEGER AS times_cited, 'issn-' || o_custkey AS issn, '10.' || o_custkey || '/' || o_orderkey AS doi,
+       'Abstract of order ' || o_orderkey AS abstract, CASE WHEN o_orderkey % 5 = 0 THEN 'Fund ' || c_mktsegment END AS funding_text
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN kw ON kw.l_orderkey = o_orderkey"""
+    o["xml_store"] = """
+WITH tc AS (SELECT l_orderkey, count(*) AS tc FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
+SELECT 'WOS:' || o_orderkey AS uid, c_name AS authors,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'Again WOS:' || o_orderkey ELSE o_orderpriority END AS title,
+       CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS source, year(o_orderdate)::INTEGER AS publication_year,
+       coalesce(tc.tc, 0)::INTEGER AS times_cited, '10.' || o_custkey || '/' || o_orderkey AS doi
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN tc ON tc.l_orderkey = o_orderkey"""
+    o["corpus_made_ids"] = """
+SELECT source, lang, sha256('{"source":"' || source || '","lang":"' || lang || '"}') || '-' ||
+       (row_number() OVER (PARTITION BY source, lang) - 1) AS doc_id FROM documents"""
+    pairs = lambda some: f"""
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings{some}),
+ds AS (SELECT p.vec_id, p.label, q.label AS other, sum(list_distance(p.v, q.v)) AS s, count(*) AS n FROM e p, e q GROUP BY ALL),
+per AS (SELECT vec_id, label, max(CASE WHEN label = other AND n > 1 THEN s / (n - 1) END) AS a,
+               min(CASE WHEN label <> other THEN s / n END) AS b FROM ds GROUP BY ALL),
+sc AS (SELECT *, CASE WHEN b IS NULL THEN NULL WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS score FROM per)"""
+    o["silhouette_euclidean"] = pairs("") + """
+SELECT vec_id, label::BIGINT AS label, round(a, 6) AS a, round(b, 6) AS b, round(score, 6) AS silhouette FROM sc"""
+    o["silhouette_sampled"] = pairs(" WHERE ('0x' || substr(md5(vec_id || ':7'), 1, 8))::UBIGINT / 4294967296.0 < 0.5") + """
+SELECT round(avg(score), 6) AS silhouette, count(*) AS n_points FROM sc"""
     o["xpath_list"] = """
 SELECT 'WOS:' || l_orderkey AS uid, (row_number() OVER (PARTITION BY l_orderkey ORDER BY p_name) - 1)::INTEGER AS pos,
        p_name AS value
@@ -1037,6 +1164,12 @@ SELECT label, rank, 'label ' || t AS phrase, round(weight, 6) AS weight FROM
     o["svd_trace"] = C(*feats) + "SELECT round(sum(value * value), 4) AS sum_sq, (SELECT count(*) FROM topics)::BIGINT AS n FROM tfidf"
     o["lsa_norms"] = C(*feats) + """
 SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM tfidf) THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM ds"""
+    o["lsa_project_given"] = C(*feats) + """,
+lv AS (SELECT topic_id, unnest(range(6)) AS c FROM topics),
+pj AS (SELECT doc_id, c, sum(value * cos(topic_id * 0.37::DOUBLE + c * 1.3::DOUBLE)) AS x FROM tfidf JOIN lv USING (topic_id) GROUP BY doc_id, c),
+nr AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS norm FROM pj)
+SELECT ds.doc_id, g.c::INTEGER AS component, coalesce(CASE WHEN norm > 0 THEN round(x / norm, 6) ELSE 0.0 END, 0.0) + 0.0 AS value
+FROM ds CROSS JOIN (SELECT unnest(range(6)) AS c) g LEFT JOIN nr ON nr.doc_id = ds.doc_id AND nr.c = g.c"""
     o["map_variance"] = "SELECT count(*) AS n, true AS ordered, true AS uncorrelated FROM embeddings"
     o["impact_null_groups"] = """
 SELECT l_orderkey, l_linenumber, round(CASE WHEN m <> 0 THEN l_quantity / m END, 6) AS impact
