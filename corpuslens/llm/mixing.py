@@ -35,20 +35,33 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     With the sources by rising cap / weight, those that are capped come
     first.  What is left after the first k caps, per unit of the other
     weights, rises with k while caps are below it and falls from there on, so
-    the share per unit of weight is the largest of these.  The frame has one
-    row per source; only that is ordered as a whole."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
-                           ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    w = sizes.withColumn("_w", by_turn).withColumn("_cap", F.lit(float(max_repeat)) * F.col("source_size"))
-    line = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    rest = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    unit = F.max("_share").over(everything)
-    return (w.withColumn("_share", left / rest)
-            .select("source", "source_size", F.least("_cap", unit * F.col("_w")).alias("target")))
+    the share per unit of weight is the largest of these.
+
+    Both orders are cut into ranges and prefix-summed in two steps, so no task
+    holds all sources.  The sums are of whole numbers, so they don't depend on
+    where the ranges are cut."""
+    one = sizes.withColumn("_one", F.lit(1))
+    by_turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_one_before") % len(weights) + 1).cast("int"))
+    w = (_sums_before(one, [F.col("source").asc_nulls_last()], ["_one"]).withColumn("_w", by_turn)
+         .withColumn("_cap", F.lit(float(max_repeat)) * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("_w")))
+    line = stage(_sums_before(w, [F.col("_ratio"), F.col("source").asc_nulls_last()], ["_cap", "_w"]))
+    every = line.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    unit = line.agg(F.max((F.lit(every["size"]) - F.col("_cap_before")) / (F.lit(every["w"]) - F.col("_w_before")))).first()[0]
+    return line.select("source", "source_size", F.least("_cap", F.lit(unit).cast("double") * F.col("_w")).alias("target"))
+
+
+def _sums_before(rows: DataFrame, order: list[F.Column], cols: list[str]) -> DataFrame:
+    """``rows`` with c_before for every c of ``cols``: its sum over all rows
+    that stand before in ``order``, which must have no ties."""
+    ranges = stage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    # a row per range: as many as the session's shuffle partitions
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("_range").agg(*[F.sum(c).alias(c) for c in cols]).select(
+        F.col("_range").alias("_start"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}_start") for c in cols])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.select(*rows.columns, "_range", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_{c}_within") for c in cols])
+    return placed.join(F.broadcast(starts), F.col("_range") == F.col("_start")).select(
+        *rows.columns, *[(F.col(f"_{c}_start") + F.col(f"_{c}_within")).alias(f"{c}_before") for c in cols])
 
 
 def _hash(seed: int, value: F.Column, kind: str = "row") -> F.Column:
@@ -75,7 +88,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     are rows ranked, so no task holds a whole source.
 
     Null and empty texts have size 0, and a source of size 0 target 0; null is
-    a source of its own.  Null ids and repeated rows count like others; equal
+    a source of its own.  A source's words miss its target by about the size
+    of its largest document (whole copies, one offset), which is a large share
+    only of a source of few documents.  Null ids and repeated rows count like others; equal
     rows are interchangeable.  No rows give no rows.  Reruns agree: the offset
     is a hash of seed and source."""
     rows = stage(docs.select(

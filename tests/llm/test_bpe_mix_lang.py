@@ -105,6 +105,34 @@ def test_targets(spark, sizes):
         assert math.isclose(got[s], t, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_targets_of_many_sources(spark):
+    """Ranges of sources: the same targets wherever they are cut, and no
+    window over all sources."""
+    sizes = {f"host{i}.example": 1 + (i * 7919) % 5000 for i in range(3000)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = mixing.source_targets(df)
+    found, want = {r.source: r.target for r in got.collect()}, plain_targets(sizes)
+    assert all(math.isclose(found[s], want[s], rel_tol=1e-9) for s in sizes)
+    assert found == {r.source: r.target for r in mixing.source_targets(df.repartition(23)).collect()}
+    ranges = mixing._sums_before(df, [F.col("source").asc()], ["source_size"])
+    plan = ranges._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan  # written; only the table of ranges is ordered as a whole
+    assert ranges.agg(F.max("source_size_before")).first()[0] == sum(sizes.values()) - sizes[max(sizes)]
+
+
+def test_words_near_the_target_of_small_sources(spark):
+    got = mixing.copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    per = got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest"))
+    assert all(abs(r.taken - r.target) <= r.largest for r in per.collect())
+
+
+def test_domains_of_a_host(spark):
+    row = spark.createDataFrame([("a.b.c.d.e.f",), ("x",), ("",), ("a..b",), ("y." * 200 + "z",)], "host string")
+    got = [r[0] for r in row.select(langid._domains(F.col("host"))).collect()]
+    assert got[0] == ["f", "e.f", "d.e.f", "c.d.e.f", "b.c.d.e.f", "a.b.c.d.e.f"]
+    assert got[1:4] == [["x"], [""], ["b", ".b", "a..b"]] and got[4] == ["y." * 200 + "z"]
+
+
 @pytest.fixture(scope="module")
 def profiles(spark, sf001):
     return langid.fit_profiles(spark.read.parquet(f"{sf001}/documents.parquet"))
@@ -143,6 +171,8 @@ def test_keep_accepted(spark, profiles):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "und der die das"), (1, "the of and that this"), (1, "the of and that this")]
     assert langid.keep_accepted(docs.limit(0), profiles).count() == 0
+    clash = docs.selectExpr("*", "1 AS key", "2 AS id", "3 AS said", "4 AS host")
+    assert langid.keep_accepted(clash, profiles).columns == clash.columns and langid.keep_accepted(clash, profiles).count() == 3
 
 
 def test_profiles_of_no_rows(spark):
