@@ -30,8 +30,9 @@ SAMPLE = 500
 MOST_GRAMS = 200
 #: Rows' worth of weight that a parent domain has in the prior of a child.
 PARENT_WEIGHT = 10.0
-#: Domains of the chain: the last one, two and three labels, and the host.
-LEVELS = 3
+#: Characters of a host name at most (the bound of DNS); longer ones are no
+#: names under a domain, and their chain is themselves.
+HOST_CHARS = 253
 ACCEPT = 0.5
 PIECE = 1 << 20
 
@@ -96,8 +97,11 @@ def visible_text(html: Column) -> Column:
 
 
 def _domains(host: Column) -> Column:
-    """The host's domains, shortest first, at most LEVELS + 1."""
-    return F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(1, LEVELS + 1)], host))
+    """The host's domains, shortest first: its last label, its last two and
+    so on up to the host."""
+    labels = F.split(host, r"\.")
+    every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    return F.when(F.length(host) <= HOST_CHARS, every).otherwise(F.array(host))
 
 
 def _sums(classes: int, col: str = "soft") -> list[Column]:
@@ -203,10 +207,14 @@ def identify(rows: DataFrame, profiles: np.ndarray, languages: tuple[str, ...] =
 def keep_accepted(docs: DataFrame, profiles: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
                   host_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, with their columns.
-    Rows that agree in id, text and host are judged alike."""
+    Rows that agree in id, text and host are judged alike: a decision is
+    joined back by id, host and a hash of all three.  Null ids, texts and hosts
+    equal each other; no rows give no rows."""
     key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(host_col))
-    rows = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("declared"),
-                       F.col(host_col).cast("string").alias("host"))
-    stay = identify(rows, profiles, **options).where("accepted").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__own_key", key).join(
-        stage(stay), F.col("__own_key") == F.col("__key"), "left_semi").select(*[F.col(c) for c in docs.columns])
+    rows = docs.select(key.alias("key"), F.col(id_col).alias("id"), F.col(host_col).alias("said"), F.col(text_col).alias("text"),
+                       F.lit(None).cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
+    stay = identify(rows, profiles, **options).where("accepted").select(
+        F.col("key").alias("__key"), F.col("id").alias("__id"), F.col("said").alias("__said")).distinct()
+    same = ((F.col("__own_key") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id"))
+            & F.col(host_col).eqNullSafe(F.col("__said")))
+    return docs.withColumn("__own_key", key).join(stage(stay), same, "left_semi").select(*[F.col(c) for c in docs.columns])
