@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table in the warehouse, bucketed and sorted by digest, with one
+The index is a table whose files lie in the shared folder, bucketed and sorted by digest, with one
 row per text seen: its digest and keep_id, the document that stands for it.  A
 new batch is reduced to one row per digest before anything is shuffled, set
 against the index by a sort-merge anti-join for which the index needs no
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.shared import lookup, lower_ascii, stage, text_or_empty
+from corpuslens.session import new_path
 
 INDEX_SCHEMA = "digest string, keep_id long"
 
@@ -23,15 +24,16 @@ def text_digest(text: str | Column) -> Column:
     return F.sha2(lower_ascii(text_or_empty(text)), 256)
 
 
-def _append(rows: DataFrame, table: str, buckets: int) -> None:
-    (rows.repartition(buckets, "digest").write.mode("append").format("parquet")
-     .bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table))
+def _append(rows: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    out = rows.repartition(buckets, "digest").write.mode("append").format("parquet")
+    out = out.option("path", path) if path else out
+    out.bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
 
 
 def open_index(spark: SparkSession, table: str, buckets: int) -> DataFrame:
-    """The index table, made empty if it isn't there yet."""
+    """The index table, made empty in the shared folder if it isn't there yet."""
     if not spark.catalog.tableExists(table):
-        _append(spark.createDataFrame([], INDEX_SCHEMA), table, buckets)
+        _append(spark.createDataFrame([], INDEX_SCHEMA), table, buckets, new_path(spark, "digest-index"))
     return spark.table(table)
 
 
@@ -68,6 +70,15 @@ def dedup(docs: DataFrame, table: str | None = None, id_col: str = "doc_id", tex
                              text_digest(text_col).alias("digest")))
     cuts = [] if batches < 2 else rows.select(F.percentile_approx(
         "doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    try:
+        return _met(spark, rows, cuts, table, buckets)
+    finally:
+        if not lasting:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _met(spark: SparkSession, rows: DataFrame, cuts: list[int], table: str, buckets: int) -> DataFrame:
+    """The rows (doc_id, digest) with their entries, after all batches are in."""
     high = None
     for low in [*sorted(set(cuts), reverse=True), None]:
         part = rows if low is None else rows.where(F.col("doc_id") > low)
@@ -77,8 +88,6 @@ def dedup(docs: DataFrame, table: str | None = None, id_col: str = "doc_id", tex
         high = low
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
     entries = stage(spark.table(table).join(sizes, "digest"))
-    if not lasting:
-        spark.sql(f"DROP TABLE {table}")
     out = lookup(rows, entries, "digest", "group_size", rows.count())
     return out.select(
         "doc_id", "keep_id", "group_size",
