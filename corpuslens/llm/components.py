@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.shared import lookup, stage
 
-MAX_ROUNDS = 64
-
 
 def _least_neighbour(pairs: DataFrame, total: int) -> DataFrame:
     """(u, v) rows with m, the least of u and its neighbours."""
@@ -33,9 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stage(edges.where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = _state(now)
-    for _ in range(MAX_ROUNDS):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
             now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _least_neighbour(both, 2 * before[0]).where("v > u and v <> m").select("m", "v")
@@ -50,7 +46,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())

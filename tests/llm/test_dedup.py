@@ -165,3 +165,18 @@ def test_long_chain_of_near_copies(spark):
     got = simhash.near_duplicates(frame(spark, rows)).collect()
     prints = [(r[0], plain_fingerprint(r[1])) for r in rows]
     assert {r.doc_id: r.component_id for r in got} == dict(zip(range(12), plain_components(prints), strict=True))
+
+
+def test_index_is_dropped_when_a_job_fails(spark, monkeypatch):
+    docs = frame(spark, [(1, "a"), (2, "b")])
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(exact, "lookup", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        exact.dedup(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([((i * 37) % 3001, ((i + 1) * 37) % 3001) for i in range(3000)], "a long, b long")
+    got = components.connected_components(edges)
+    assert got.count() == 3001 and got.where("root <> 0").isEmpty()
