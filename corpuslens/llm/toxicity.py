@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from corpuslens.llm.shared import stage, text_or_empty, worker_memo
 
 #: Labelled texts of each label that the classifier is fitted on (those whose
-#: id has the smallest hash), and how much of them may reach the driver.
-SAMPLE = 4000
-SAMPLE_WINDOWS = 200_000
+#: id has the smallest hash), and pieces of 64 bytes a text, on average, that a
+#: dictionary is trained on.
+SAMPLE, PIECES = 4000, 50
 #: Bytes to a window and from one to the next.
 WINDOW, STRIDE = 48, 32
 #: Bytes of the dictionaries, and zstandard's level.
@@ -97,13 +97,14 @@ class Model:
 
 def _train(samples: list[bytes], size: int) -> bytes:
     """Content of a dictionary trained on the samples; where they are too few
-    to train on, the samples themselves."""
+    to train on, samples themselves, drawn evenly."""
     import zstandard
 
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(samples)[:size] or b" " * 8
+        step = -(-(sum(map(len, samples)) + len(samples)) // size)
+        return b" ".join(samples[::max(step, 1)])[:size] or b" " * 8
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0):
@@ -118,12 +119,13 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample: int = SAMPLE) -> Model:
+        sample: int = SAMPLE, pieces_each: int = PIECES) -> Model:
     """Fits on up to ``sample`` documents of either label, of which all words
-    and windows count, up to SAMPLE_WINDOWS windows of either label in the
-    training of a dictionary (those of the smallest hashes).  ``labels`` holds
-    ids and labels; labels other than 0 and 1 and ids without a document are
-    left out.  With only one label, or none, the model gives every text the
+    and windows count; a dictionary is trained on ``sample`` x ``pieces_each``
+    pieces of them at most (those of the smallest hashes), which is what the
+    driver holds.  ``labels`` holds ids and labels; labels other than 0 and 1
+    and ids without a document are left out, an id that is labelled both is
+    toxic, and of an id that repeats in ``docs`` the smallest text counts.  With only one label, or none, the model gives every text the
     label's share (0 without labels).
 
     The sample is drawn from ids alone, and no text is shuffled to get it."""
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         some = known.where(F.col("toxic") == label).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(sample)
         ids = some if ids is None else ids.unionAll(some)
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
-    chosen = stage(texts.join(F.broadcast(ids.select("_id", "toxic")), "_id"))
+    chosen = stage(texts.join(F.broadcast(ids.select("_id", "toxic")), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text")))
     taken = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(taken) < 2:
         only = 1 if 1 in taken else 0
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pieces = chosen.select("toxic", "text").mapInPandas(samples, "toxic int, piece binary")
     trained = {}
     for label, size in ((0, ORDINARY_BYTES), (1, TOXIC_BYTES)):
-        some = pieces.where(F.col("toxic") == label).select("piece", F.xxhash64("piece").alias("h")).orderBy("h", "piece").limit(SAMPLE_WINDOWS)
+        some = pieces.where(F.col("toxic") == label).select("piece", F.xxhash64("piece").alias("h")).orderBy("h", "piece").limit(sample * pieces_each)
         trained[label] = _train([bytes(r["piece"]) for r in some.collect()], size)
     model = Model(trained[0], trained[1], (0.0,) * FEATURES, (1.0,) * FEATURES, (0.0,) * (FEATURES + 1))
     seen = chosen.select("toxic", _features(F.col("text"), model).alias("x")).orderBy("toxic", "x").collect()
@@ -195,7 +197,8 @@ def _features(text: Column, model: Model) -> Column:
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the probability that a text is toxic, from all windows of
     the whole text.  Null counts as empty; an empty text has the score of one
-    empty window."""
+    empty window.  A column that is already called ``score_col`` gives way to
+    the new one; repeated rows have equal scores."""
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

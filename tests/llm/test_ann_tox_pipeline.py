@@ -131,3 +131,17 @@ def test_tokenizer_file_is_a_parameter(spark):
     one = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     row = one.decode(one.encode(frame(spark, [(1, "Grüße 漢字")]))).first()
     assert bytes(row.decoded).decode() == "Grüße 漢字"
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """One row of an id is learnt from, however often it stands in the table."""
+    known = [(i, prose(i, 30) + (" vileword nastyword" if i % 2 else ""), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(known, "doc_id long, text string, toxic int")
+    twice = docs.unionAll(docs).unionAll(docs.where("doc_id = 3")).unionAll(docs.where("doc_id = 3"))
+    assert toxicity.fit(twice, docs.select("doc_id", "toxic")) == toxicity.fit(docs, docs.select("doc_id", "toxic"))
+
+
+def test_samples_too_few_to_train_on_are_drawn_evenly():
+    few = [bytes([65 + i]) * 10 for i in range(5)]
+    assert toxicity._train(few, 25) == b" ".join(few[::3])[:25] and toxicity._train(few, 1000) == b" ".join(few)
+    assert toxicity._train([], 100) == b" " * 8
