@@ -49,3 +49,43 @@ def test_word_vocabulary_is_kept_by_hash(spark):
     docs = spark.createDataFrame([(1, ["a"])], "doc_id long, tokens array<string>")
     plan = V.word_vocabulary(docs)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_strips_do_not_follow_the_number_of_points():
+    from corpuslens.operators import silhouette as SH
+    assert SH._n_strips(100, 3, 512) == 1
+    assert SH._n_strips(60_000, 10, 512) == SH._n_strips(600_000, 10, 512) == SH.STRIPS
+    assert SH._n_strips(6_000_000, 10, 512) == -(-6_000_000 // SH.STRIP)
+    assert SH._n_strips(600_000, 2000, 512) == -(-600_000 // (SH.CELLS // 2000))
+
+
+def test_strips_of_several_blocks_give_the_definition():
+    import pandas as pd
+    from corpuslens.operators import silhouette as SH
+    rng = np.random.default_rng(3)
+    x, label, strip = rng.normal(size=(70, 4)), rng.integers(0, 3, 70), np.arange(70) % 2
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    rows = pd.DataFrame({"row": np.arange(70), "label": label, "vec": list(x), "strip": strip})
+    parts = []
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        held = rows[rows["strip"].isin([lo, hi])].assign(lo=lo, hi=hi)
+        parts.append(SH._tile_of(8)(held))
+    got = pd.concat(parts).groupby(["row", "own", "other"])[["total", "n"]].sum().reset_index()
+    for r in got.itertuples():
+        assert r.own == label[r.row] and r.n == (label == r.other).sum()
+        assert r.total == pytest.approx(d[r.row, label == r.other].sum(), abs=1e-5)
+
+
+def test_sweep_passes_hold_a_bounded_number_of_models(spark, monkeypatch):
+    from corpuslens.operators import sweeps as SW
+    assert SW._passes([5, 10, 15, 100, 2], 10) == [[5, 10, 15, 100, 2]]
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, features array<double>")
+    centres = {k: x[:k] for k in (2, 3, 4, 7)}
+    whole = SW.inertias(points, centres), SW.silhouettes(points, centres)
+    monkeypatch.setattr(SW, "PASS_NUMBERS", 30)
+    monkeypatch.setattr(SW, "BATCH_CELLS", 20)
+    assert SW._passes([2, 3, 4, 7], 5) == [[2, 3], [4], [7]]
+    for a, b in zip(whole, (SW.inertias(points, centres), SW.silhouettes(points, centres)), strict=True):
+        assert a == pytest.approx(b)
