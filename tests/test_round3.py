@@ -89,3 +89,12 @@ def test_sweep_passes_hold_a_bounded_number_of_models(spark, monkeypatch):
     assert SW._passes([2, 3, 4, 7], 5) == [[2, 3], [4], [7]]
     for a, b in zip(whole, (SW.inertias(points, centres), SW.silhouettes(points, centres)), strict=True):
         assert a == pytest.approx(b)
+
+def test_records_land_packed(spark, tmp_path):
+    from corpuslens.sources import xml as SX
+    path = str(tmp_path / "xml")
+    names = F.struct(F.array(F.struct(F.lit("A, B").alias("display_name"), F.lit("A").alias("wos_standard"))).alias("name"))
+    rec = spark.range(40).select(F.concat(F.lit("WOS:"), "id").alias("UID"), F.struct(F.struct(names.alias("names")).alias("summary")).alias("static_data"))
+    SX.write_records(rec, path)
+    assert {x.rsplit(".", 1)[1] for x in os.listdir(path) if x.startswith("part-")} == {"gz"}
+    assert SX.project_records(SX.read_records(spark, path)).where("authors = array('A, B')").count() == 40
