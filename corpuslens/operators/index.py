@@ -21,18 +21,29 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens.functions.text import distinct_items
 from corpuslens.operators.citations import all_of, any_word, query_words
+from corpuslens.session import shuffles_dropped
 
 KINDS = ("spaces", "words")
 #: Characters of a run in ``grams``, and the mark at a token's ends.
 GRAM = 3
 MARK = "\x01"
-#: Tasks over which a bucket is spread when it is written.
+#: Characters of a token whose runs are cut and compared one by one.
+SHORT = 64
+#: Tasks over which a bucket is spread when it is written, at least.
 SPREAD = 16
+#: Bytes of text whose postings a task writes, about.
+TASK_BYTES = 16 << 20
+#: Tokens whose positions a task gathers at a time, or one document's.
+BATCH_ITEMS = 1 << 20
 #: Words of a phrase at most.
 PHRASE_WORDS = 62
 # Positions of a document's further text columns begin this far apart.
@@ -79,24 +90,65 @@ def _items(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0))
 
 
+def _gather(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row per document and token with the token's positions, in order."""
+    items, at = batch.column("items"), batch.column("at")
+    doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(items).to_numpy(zero_copy_only=False))
+    words = items.flatten().dictionary_encode()
+    key = doc * max(1, len(words.dictionary)) + words.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    ends = np.append(first, len(order)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("id").take(pa.array(doc[order[first]])), words.dictionary.take(words.indices.take(pa.array(order[first]))),
+         pa.ListArray.from_arrays(pa.array(ends), at.flatten().take(pa.array(order)))], names=["id", "token", "positions"])
+
+
+def _gather_batches(batches):
+    """Task function: ``_gather`` over runs of documents of about BATCH_ITEMS."""
+    for batch in batches:
+        part = np.cumsum(pc.list_value_length(batch.column("items")).to_numpy(zero_copy_only=False)) // BATCH_ITEMS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield _gather(batch.slice(a, b - a))
+
+
 def _token_rows(df: DataFrame, text_cols: Sequence[str], id_col: str, kind: str) -> DataFrame:
-    """(id, token, pos) of all text columns; rows without an id have none."""
-    parts = []
-    for i, c in enumerate(text_cols):
-        each = df.where(F.col(id_col).isNotNull()).select(
-            F.col(id_col).alias("id"), F.posexplode(_items(F.col(c).cast("string"), kind)).alias("pos", "token"))
-        parts.append(each.select("id", "token", (F.col("pos") + F.lit(i * COLUMN_STEP)).alias("pos")))
-    rows = reduce(DataFrame.unionAll, parts)
-    return rows if kind == "spaces" else rows.where(F.col("token").rlike(r"(?U)^\w")).withColumn("token", F.lower(F.upper("token")))
+    """(id, token, positions) of all text columns, a row per token of a
+    document, made where the document is read; rows without an id have none."""
+    def placed(c: str, first: int) -> Column:
+        items = F.coalesce(_items(F.col(c).cast("string"), kind), F.array().cast("array<string>"))
+        return F.transform(items, lambda x, p: F.struct(x.alias("token"), (p + F.lit(first).cast("long")).alias("pos")))
+
+    items = F.concat(*[placed(c, i * COLUMN_STEP) for i, c in enumerate(text_cols)])
+    if kind == "words":
+        items = F.transform(F.filter(items, lambda x: x["token"].rlike(r"(?U)^\w")), lambda x: F.struct(
+            F.lower(F.upper(x["token"])).alias("token"), x["pos"].alias("pos")))
+    held = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), items.alias("items"))
+    held = held.select("id", F.col("items.token").alias("items"), F.col("items.pos").alias("at"))
+    return held.mapInArrow(_gather_batches, T.StructType(
+        [held.schema["id"], T.StructField("token", T.StringType()), T.StructField("positions", T.ArrayType(T.LongType()))]))
+
+
+def _spread(df: DataFrame, text_cols: Sequence[str], buckets: int) -> tuple[int, int]:
+    """Tasks over which a bucket is spread, and tasks in all: they follow the
+    length of the texts, so that what a task sorts does not grow with them."""
+    size = reduce(lambda x, y: x + y, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in text_cols])
+    tasks = -(-int(df.agg(F.sum(size)).first()[0] or 0) // TASK_BYTES)
+    return max(SPREAD, -(-4 * tasks // buckets)), tasks
 
 
 def _grams(token: Column) -> Column:
     """The distinct runs of GRAM characters of the marked token."""
     marked = F.split(F.concat(F.lit(MARK), token, F.lit(MARK)), "")
     # the characters are named by a lambda, so that a long token is split once
-    return distinct_items(F.transform(F.array(marked), lambda held: F.transform(
+    long = distinct_items(F.transform(F.array(marked), lambda held: F.transform(
         F.slice(held, F.lit(1), F.size(held) - (GRAM - 1)),
         lambda c, i: F.concat(c, *[F.get(held, i + j) for j in range(1, GRAM)])))[0])
+    whole = F.concat(F.lit(MARK), token, F.lit(MARK))
+    short = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(whole) - (GRAM - 1)), lambda i: F.substring(whole, i, GRAM)))
+    return F.when(F.length(token).between(1, SHORT), short).otherwise(long)
 
 
 def _write(rows: DataFrame, path: str, mode: str) -> None:
@@ -108,8 +160,9 @@ def build_index(df: DataFrame, path: str, text_cols: Sequence[str], id_col: str
     """Index the text columns of ``df`` under ``path``; ``mode='append'`` adds
     documents with new ids to the index that is there, with its kind and buckets.
 
-    Ids are unique; rows without one and null texts are not found.  A token
-    that stands in most documents is spread over SPREAD tasks and files."""
+    Ids are unique; rows without one and null texts are not found.  A document's
+    positions are gathered where it is read.  A token that stands in most documents is
+    spread over SPREAD tasks and files, or more as the texts grow."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     id_type = df.schema[id_col].dataType.simpleString()
@@ -117,16 +170,22 @@ def build_index(df: DataFrame, path: str, text_cols: Sequence[str], id_col: str
     if (index.kind, index.id_type) != (kind, id_type):
         raise ValueError(f"the index is of kind {index.kind!r} with ids of type {index.id_type}")
     buckets = index.buckets
-    rows = _token_rows(df, text_cols, id_col, kind).select(
-        "id", "token", "pos", _bucket(F.col("token"), buckets).alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("salt"))
-    merged = rows.repartition("bucket", "salt").groupBy("bucket", "salt", "token", "id").agg(
-        F.sort_array(F.collect_list("pos")).alias("positions"))
-    _write(merged.drop("salt").sortWithinPartitions("bucket", "token"), f"{path}/postings", mode)
-    tokens = rows.select("token").distinct()
-    grams = tokens.select(F.explode(_grams(F.col("token"))).alias("gram"), "token").select(
-        "gram", "token", _bucket(F.col("gram"), buckets).alias("bucket"))
-    salted = grams.repartition(F.col("bucket"), F.pmod(F.xxhash64("token"), F.lit(SPREAD)))
-    _write(salted.sortWithinPartitions("bucket", "gram"), f"{path}/grams", mode)
+    spread, tasks = _spread(df, text_cols, buckets)
+    many = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        keys = ["bucket", F.pmod(F.xxhash64(by), F.lit(spread))]
+        return rows.repartition(tasks, *keys) if many else rows.repartition(*keys)
+
+    rows = _token_rows(df, text_cols, id_col, kind)
+    with shuffles_dropped(df.sparkSession):
+        placed = rows.select("token", "id", "positions", _bucket(F.col("token"), buckets).alias("bucket"))
+        _write(dealt(placed, "id").sortWithinPartitions("bucket", "token"), f"{path}/postings", mode)
+        # an index made anew has its tokens in its postings: no second look at the texts
+        tokens = (rows if mode == "append" else index.postings).select("token").distinct()
+        grams = tokens.select(F.explode(_grams(F.col("token"))).alias("gram"), "token").select(
+            "gram", "token", _bucket(F.col("gram"), buckets).alias("bucket"))
+        _write(dealt(grams, "token").sortWithinPartitions("bucket", "gram"), f"{path}/grams", mode)
     about = df.sparkSession.createDataFrame([(kind, buckets, id_type)], "kind string, buckets int, id_type string")
     about.write.mode("overwrite").json(f"{path}/about")
     return index

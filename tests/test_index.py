@@ -111,3 +111,29 @@ def test_refused(words, spaces, rows):
 def test_empty_table(rows):
     index = IX.build_index(rows.limit(0), tempfile.mkdtemp(prefix="cl-ix-"), ["text"], "doc_id", "words")
     assert index.postings.count() == 0 and ids(IX.record_search_indexed(index, "low", id_col="doc_id")) == []
+
+
+def test_positions_are_gathered_where_a_document_is_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, "b a  B", "a"), (2, None, "a-b"), (None, "a", "a"), (3, " ", None)], "doc_id long, text string, title string")
+    rows = IX._token_rows(df, ["text", "title"], "doc_id", "words")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    step = IX.COLUMN_STEP
+    want = {(1, "a", (1, step)), (1, "b", (0, 2)), (2, "a", (step,)), (2, "b", (step + 2,))}
+    assert {(r["id"], r["token"], tuple(r["positions"])) for r in rows.collect()} == want
+    index = IX.build_index(df, str(tmp_path / "ix"), ["text", "title"])
+    assert {(r["id"], r["token"], tuple(r["positions"])) for r in index.postings.collect()} == want
+
+
+def test_a_task_writes_no_more_as_the_texts_grow(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "é" * 100), (2, None)], "doc_id long, text string")
+    assert IX._spread(df, ["text"], 4) == (IX.SPREAD, 1)
+    monkeypatch.setattr(IX, "TASK_BYTES", 5)
+    assert IX._spread(df, ["text"], 4) == (40, 40)
+    assert IX._spread(df.limit(0), ["text"], 4) == (IX.SPREAD, 0)
+
+
+@pytest.mark.parametrize("token", ["a", "ab", "aaaa", "été", "𝄞a", "ab" * 32, "ab" * 32 + "c", "x" * 300])
+def test_runs_of_short_and_long_tokens(spark, token):
+    marked = IX.MARK + token + IX.MARK
+    got = spark.createDataFrame([(token,)], "t string").select(IX._grams(F.col("t"))).first()[0]
+    assert sorted(got) == sorted({marked[i:i + 3] for i in range(len(marked) - 2)})
